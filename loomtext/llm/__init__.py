@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ["chunking"]
+NAMES = ["chunking", "textstats"]
 
 
 def query_modules() -> list:
