@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ["chunking", "textstats"]
+NAMES = ["chunking", "textstats", "sentences"]
 
 
 def query_modules() -> list:
