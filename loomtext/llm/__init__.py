@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ["chunking", "textstats", "sentences", "langid"]
+NAMES = ["chunking", "textstats", "sentences", "langid", "mojibake"]
 
 
 def query_modules() -> list:
