@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ["chunking", "textstats", "sentences", "langid", "mojibake"]
+NAMES = ["chunking", "textstats", "sentences", "langid", "mojibake", "truncation"]
 
 
 def query_modules() -> list:

@@ -52,6 +52,19 @@ def flatten(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return points, starts
 
 
+def slices(texts: list[str], most: int = 1_000_000):
+    """The texts in order, in lists of about ``most`` code points, so that what numpy holds at once stays small."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > most:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
 def flags_of(points: np.ndarray) -> np.ndarray:
     return classes()[np.where(points < 0x10000, points, 0x4E00)]
 

@@ -48,6 +48,59 @@ COUNTS = (
 )
 
 
+def line_shapes(points: np.ndarray, f: np.ndarray) -> dict[str, np.ndarray]:
+    """Start and end of every line and whether it is full, ended by a mark, or shaped like a table's, a list's, an
+    entry's, a navigation's, a dump's or a chat's line."""
+    has = lambda flag: (f & flag) != 0
+    is_ = lambda ch: points == ord(ch)
+    letter, blank, digit, newline = has(cp.LETTER), has(cp.BLANK), has(cp.DIGIT), has(cp.NEWLINE)
+    end, close = has(cp.END), has(cp.CLOSE)
+    ls = np.concatenate(([0], np.flatnonzero(newline) + 1))[:-1]
+    le = np.flatnonzero(newline)
+    bounds = np.append(ls, len(points))
+    line = lambda v: cp.sums(v, bounds)
+    ink = line(~blank)
+    # first and last place with ink of each line
+    idx = np.arange(len(points))
+    first = np.minimum.reduceat(np.where(blank, len(points) - 1, idx), ls)
+    last = np.maximum.reduceat(np.where(blank, 0, idx), ls)
+    c0, c1, c2, c3 = (points[np.minimum(first + k, len(points) - 1)] for k in range(4))
+    full = ink > 0
+    ended = full & (end[last] | (close[last] & (cp.shifted(end, -1, False) | (cp.shifted(close, -1, False) & cp.shifted(end, -2, False)) | cp.shifted(blank, -1, False))[last]))
+    space = is_(" ")
+    next_ink = ~cp.shifted(blank, 1, True)
+    in_number = cp.shifted(digit, -1, False) & cp.shifted(digit, 1, False)
+    tight = lambda ch: line(is_(ch) & next_ink & ~in_number)
+    gap = space & cp.shifted(space, 1, False) & cp.shifted(space, 2, False) & ~cp.shifted(space, -1, False) & ~cp.shifted(newline, -1, True)
+    tabs, semis, commas, bars, equals = (line(is_(c)) for c in "\t;,|=")
+    table = (
+        ((c0 == ord("|")) & (bars >= 2)) | (tabs >= 2) | ((semis >= 2) & (tight(";") * 2 > semis) & (equals < 2)) | ((tight(",") >= 2) & (tight(",") * 4 >= 3 * line(is_(",") & ~in_number)))
+        | (line(gap) >= 2) | ((c0 == ord("{")) & (line(is_(":")) >= 1)) | ((equals >= 2) & (semis >= 1))
+    )
+    hexes = np.isin(points, [ord(c) for c in "0123456789abcdefABCDEF"])
+    n_hex = line(hexes)
+    hexed = full & (n_hex >= 0.9 * ink) & (ink >= 14) & (line(space) >= 5)
+    time = (c0 == ord("[")) & (c1 >= 48) & (c1 < 58) & (line(is_(":")) >= 1)
+    nav = full & ~table & ~time & ~ended & (line(is_("|") | is_("»") | is_("›")) >= 1) & (line(digit) == 0) & (line(is_("«")) == 0) & (line(letter | blank) + line(is_("|") | is_("»") | is_("›")) >= le - ls)
+    bullet = np.isin(c0, [ord(c) for c in "-*•‣◦"]) & ((c1 == 32) | (c1 == 9))
+    box = (c0 == ord("[")) & ((c1 == 32) | (c1 == ord("x")) | (c1 == ord("X"))) & (c2 == ord("]"))
+    is_d = lambda c: (c >= 48) & (c < 58)
+    dot = lambda c: (c == ord(".")) | (c == ord(")"))
+    numbered = is_d(c0) & ((dot(c1) & (c2 == 32)) | (is_d(c1) & dot(c2) & (c3 == 32)) | (is_d(c1) & is_d(c2) & dot(c3)))
+    # parts of entries, wherever they stand: "12 × thing", "thing – state", "ABC-123 thing, place"; a damaged sign counts as one
+    damaged = np.isin(points, [ord(c) for c in DAMAGE])
+    spaced = cp.shifted(space, -1, False) & (cp.shifted(space, 1, False) | cp.shifted(space, 2, False) | cp.shifted(space, 3, False))
+    times = (is_("×") | damaged) & spaced & cp.shifted(digit, -2, False)
+    dash = (is_("–") | is_("—") | damaged) & spaced & ~cp.shifted(digit, -2, False)
+    upper3 = has(cp.UPPER) & cp.shifted(has(cp.UPPER), 1, False) & cp.shifted(has(cp.UPPER), 2, False) & cp.shifted(is_("-"), 3, False) & cp.shifted(digit, 4, False) & ~cp.shifted(letter, -1, False)
+    coded = (points[first] < 128) & upper3[first] & (commas >= 1)
+    parts = line(times) + line(dash) + line(upper3)
+    size_ok = (le - ls) <= 70 * np.maximum(parts, 1)
+    entry = full & ~ended & ~time & ~table & (parts >= 1) & size_ok & (coded | (line(times | dash) >= 1)) & (line(is_(":")) == 0)
+    marked = full & ~time & ~table & (bullet | box | numbered | (damaged[first] & (parts + line(damaged) >= 2) & ~ended))
+    return {"start": ls, "end": le, "full": full, "ended": ended, "table": table, "marked": marked, "entry": entry, "nav": nav, "hex": hexed, "chat": time}
+
+
 def count_batch(texts: list[str]) -> dict[str, np.ndarray]:
     """Every count of ``COUNTS`` for each text; texts must not be empty."""
     points, starts = cp.flatten(texts)
@@ -93,62 +146,21 @@ def count_batch(texts: list[str]) -> dict[str, np.ndarray]:
     n["sentence_ends"] = per_text(end & (after | wide) & ~cp.shifted(end, 1, False))
 
     # lines
-    ls = np.concatenate(([0], np.flatnonzero(newline) + 1))[:-1]
-    le = np.flatnonzero(newline)
+    shape = line_shapes(points, f)
+    ls, le = shape["start"], shape["end"]
     text_of_line = np.searchsorted(starts, ls, "right") - 1
-    bounds = np.append(ls, len(points))
-    line = lambda v: cp.sums(v, bounds)
-    ink = line(~blank)
-    # first and last place with ink of each line
-    idx = np.arange(len(points))
-    first = np.minimum.reduceat(np.where(blank, len(points) - 1, idx), ls)
-    last = np.maximum.reduceat(np.where(blank, 0, idx), ls)
-    c0, c1, c2, c3 = (points[np.minimum(first + k, len(points) - 1)] for k in range(4))
-    full = ink > 0
     per_line = lambda v: np.bincount(text_of_line, weights=v, minlength=len(texts)).astype(np.int64)
-    n["line_count"] = per_line(full)
-    ended = full & (end[last] | (close[last] & (cp.shifted(end, -1, False) | (cp.shifted(close, -1, False) & cp.shifted(end, -2, False)) | cp.shifted(blank, -1, False))[last]))
-    n["punctuated_lines"] = per_line(ended)
+    n["line_count"], n["punctuated_lines"] = per_line(shape["full"]), per_line(shape["ended"])
     chars = lambda v: per_line(np.where(v, le - ls + 1, 0))
-    space = is_(" ")
-    next_ink = ~cp.shifted(blank, 1, True)
-    in_number = cp.shifted(digit, -1, False) & cp.shifted(digit, 1, False)
-    tight = lambda ch: line(is_(ch) & next_ink & ~in_number)
-    gap = space & cp.shifted(space, 1, False) & cp.shifted(space, 2, False) & ~cp.shifted(space, -1, False) & ~cp.shifted(newline, -1, True)
-    tabs, semis, commas, bars, equals = (line(is_(c)) for c in "\t;,|=")
-    table = (
-        ((c0 == ord("|")) & (bars >= 2)) | (tabs >= 2) | ((semis >= 2) & (tight(";") * 2 > semis) & (equals < 2)) | ((tight(",") >= 2) & (tight(",") * 4 >= 3 * line(is_(",") & ~in_number)))
-        | (line(gap) >= 2) | ((c0 == ord("{")) & (line(is_(":")) >= 1)) | ((equals >= 2) & (semis >= 1))
-    )
-    hexes = np.isin(points, [ord(c) for c in "0123456789abcdefABCDEF"])
-    n_hex = line(hexes)
-    hexed = full & (n_hex >= 0.9 * ink) & (ink >= 14) & (line(space) >= 5)
-    time = (c0 == ord("[")) & (c1 >= 48) & (c1 < 58) & (line(is_(":")) >= 1)
-    nav = full & ~table & ~time & ~ended & (line(is_("|") | is_("»") | is_("›")) >= 1) & (line(digit) == 0) & (line(is_("«")) == 0) & (line(letter | blank) + line(is_("|") | is_("»") | is_("›")) >= le - ls)
-    bullet = np.isin(c0, [ord(c) for c in "-*•‣◦"]) & ((c1 == 32) | (c1 == 9))
-    box = (c0 == ord("[")) & ((c1 == 32) | (c1 == ord("x")) | (c1 == ord("X"))) & (c2 == ord("]"))
-    is_d = lambda c: (c >= 48) & (c < 58)
-    dot = lambda c: (c == ord(".")) | (c == ord(")"))
-    numbered = is_d(c0) & ((dot(c1) & (c2 == 32)) | (is_d(c1) & dot(c2) & (c3 == 32)) | (is_d(c1) & is_d(c2) & dot(c3)))
-    # parts of entries, wherever they stand: "12 × thing", "thing – state", "ABC-123 thing, place"; a damaged sign counts as one
-    damaged = np.isin(points, [ord(c) for c in DAMAGE])
-    spaced = cp.shifted(space, -1, False) & (cp.shifted(space, 1, False) | cp.shifted(space, 2, False) | cp.shifted(space, 3, False))
-    times = (is_("×") | damaged) & spaced & cp.shifted(digit, -2, False)
-    dash = (is_("–") | is_("—") | damaged) & spaced & ~cp.shifted(digit, -2, False)
-    upper3 = has(cp.UPPER) & cp.shifted(has(cp.UPPER), 1, False) & cp.shifted(has(cp.UPPER), 2, False) & cp.shifted(is_("-"), 3, False) & cp.shifted(digit, 4, False) & ~cp.shifted(letter, -1, False)
-    coded = (points[first] < 128) & upper3[first] & (commas >= 1)
-    parts = line(times) + line(dash) + line(upper3)
-    size_ok = (le - ls) <= 70 * np.maximum(parts, 1)
-    entry = full & ~ended & ~time & ~table & (parts >= 1) & size_ok & (coded | (line(times | dash) >= 1)) & (line(is_(":")) == 0)
-    marked = full & ~time & ~table & (bullet | box | numbered | (damaged[first] & (parts + line(damaged) >= 2) & ~ended))
+    marked, entry, table, hexed, nav, time = (shape[k] for k in ("marked", "entry", "table", "hex", "nav", "chat"))
     n["list_chars"], n["entry_chars"], n["listing_chars"] = chars(marked), chars(entry), chars(marked | entry)
     n["table_chars"], n["hex_chars"], n["nav_chars"], n["chat_chars"] = chars(table), chars(hexed), chars(nav), chars(time)
     return n
 
 
 def _stats(texts: pd.Series) -> pd.DataFrame:
-    n = count_batch(texts.tolist())
-    return pd.DataFrame({k: n[k].astype(np.int32) for k in COUNTS})
+    parts = [count_batch(part) for part in cp.slices(texts.tolist())]
+    return pd.DataFrame({k: np.concatenate([n[k] for n in parts]).astype(np.int32) if parts else np.zeros(0, np.int32) for k in COUNTS})
 
 
 RATIOS = {
