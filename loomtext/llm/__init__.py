@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ["chunking", "textstats", "sentences", "langid", "mojibake", "truncation"]
+NAMES = ["chunking", "textstats", "sentences", "langid", "mojibake", "truncation", "packing", "mixing"]
 
 
 def query_modules() -> list:
