@@ -10,7 +10,7 @@ WORD = r"[A-Za-z0-9][A-Za-z0-9_.@:/#-]*"
 TOKEN_EDGE = ".,;:!?()[]{}\"'`"
 # Words that never count as content.
 STOP_WORDS = "a an and are as by can could did does for from had has have how in is it of on or should that the to was were what when where which who with would".split()
-BLOB = r"\b(?:[0-9a-fA-F]{24,}|[A-Za-z0-9+/]{32,}=*)\b"
+BLOB = r"(?:^|[^A-Za-z0-9_])(?:[0-9a-fA-F]{24,}|[A-Za-z0-9+/]{32,}=*)(?:[^A-Za-z0-9_]|$)"
 SEP = "\u001f"
 
 
