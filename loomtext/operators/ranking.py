@@ -28,7 +28,8 @@ def lexical_search(units: DataFrame, key: str, query: dict[str, int], required:
     """Best units: a query token counts as often as it stands in the unit, at most as often as in the query, and each
     required phrase adds 4.  Counts are made before any shuffle, and only the best rows are sorted."""
     u = units.withColumn("__k", tokens(F.col("text"))).withColumn("__m", normalize(F.col("text")))
-    shared = sum((F.least(F.size(F.filter("__k", lambda t, q=q: t == q)), F.lit(n)) for q, n in query.items()), F.lit(0))
+    times = lambda word: F.size(F.filter("__k", lambda t: t == word))
+    shared = sum((F.least(times(word), F.lit(n)) for word, n in query.items()), F.lit(0))
     extra = sum((F.when(F.col("__m").contains(p), 4).otherwise(0) for p in required), F.lit(0))
     return u.select(key, (shared + extra).cast("double").alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(limit)
 
