@@ -32,9 +32,10 @@ def reduce_by_dominance(sizes: list[int], capacity: int) -> tuple[list[list[int]
         item, size = order.pop(), values.pop()
         room = capacity - size
         at = bisect_right(values, room) - 1
-        if at < 0:
+        larger = bool(left) and sizes[left[-1]] <= room  # a larger item that was passed over fits as well
+        if at < 0 and not larger:
             fixed.append([item])
-        elif values[at] == room or (at == 0 or values[0] + values[1] > room):
+        elif at >= 0 and (values[at] == room or (not larger and (at == 0 or values[0] + values[1] > room))):
             fixed.append([item, order.pop(at)])
             values.pop(at)
         else:

@@ -315,7 +315,8 @@ def with_kind(documents: DataFrame, *also: str) -> DataFrame:
     Documents with null or empty text have no row; a text of blanks only has zero ratios and is prose; equal texts have
     equal rows; columns of the input beyond ``doc_id``, ``text`` and those named are not read.
     """
-    return with_stats(documents, *also).withColumn("kind", F.expr(case_of(learn_rules(documents))))
+    blank = F.col("char_count") <= F.col("blank_count")
+    return with_stats(documents, *also).withColumn("kind", F.when(blank, "prose").otherwise(F.expr(case_of(learn_rules(documents)))))
 
 
 QUERIES = {
