@@ -1,7 +1,7 @@
 """Text cut off by field limits (problem 9).
 
-The vocabulary of the corpus is kept as a hashed trie (counts of words and of their proper prefixes) beside counts of how
-often the words before a place are followed by an end.  A text is cut off where its last token is an unknown proper
+Spark counts the words of the corpus and their proper prefixes, and how often the words before a place are followed by an
+end, by exact 64-bit keys; only the keys of the ends of texts are joined to their counts.  A text is cut off where its last token is an unknown proper
 prefix of known words or where its last words are hardly ever followed by an end; lengths at which a source's texts pile
 up raise the suspicion.
 """
@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 
 from loomtext.llm import codepoints as cp
 from loomtext.llm import textstats
-from loomtext.runtime import table
+from loomtext.runtime import durable, table
 
-TRIE, CONTEXTS = 1 << 19, 1 << 22  # sizes of the trie and of the table of contexts, whatever the corpus
-WORDS, PREFIXES, SEEN, ENDED = 0, TRIE, 2 * TRIE, 2 * TRIE + CONTEXTS  # where each table starts
+WORD, CONTEXT = 0, 1  # kinds of counted keys: words with what is longer; contexts of four lengths from the shortest, 1 to 4
 ENOUGH = 3  # times a context must have been seen to be believed
 PILE = 4.0  # times the mean of a source's neighbouring lengths that make a length a limit
 OMITTED = re.compile(r"\s*(?:\[(?:…|\.\.\.)\]|\((?:…|\.\.\.)\)|…|\.\.\.)$")
@@ -34,14 +33,6 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def _slot(h: np.ndarray, size: int) -> np.ndarray:
-    return ((h * _MIX[0]) >> np.uint64(65 - size.bit_length())).astype(np.int64)
-
-
-def _context(h: np.ndarray, level: int) -> np.ndarray:
-    return _slot(_mix(h, np.full(len(h), level + 11, np.uint64)), CONTEXTS)
-
-
 def analyse(texts: list[str]) -> dict[str, np.ndarray]:
     """Tokens of all texts: words, or single characters of scripts without spaces; numbers count as one token.  For each
     its text, span, hash, the hashes of its contexts (short to long), and whether an end follows."""
@@ -98,45 +89,56 @@ def analyse(texts: list[str]) -> dict[str, np.ndarray]:
     return {"points": low, "owner": owner, "start": ws, "end": we, "hash": h, "contexts": contexts, "ended": ended, "last": last, "dense": one, "offset": starts, "digit": digit[ws]}
 
 
+def prefixes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the proper prefixes of each stretch, as ``span_hashes`` gives them, and the stretch of each."""
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    lengths = ends - starts
+    firsts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    owner = np.repeat(np.arange(len(starts)), lengths)
+    inner = np.arange(len(owner)) - firsts[owner]
+    with np.errstate(over="ignore"):
+        terms = (points[starts[owner] + inner].astype(np.uint64) + np.uint64(1)) * cp._powers()[inner & 63]
+        run = np.cumsum(terms, dtype=np.uint64)
+        h = run - (run[firsts] - terms[firsts])[owner]
+    proper = (inner + 1 < lengths[owner]) & (inner < 11)
+    return h[proper], owner[proper]
+
+
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each distinct key and the sums of its values."""
+    code, own = pd.factorize(keys)
+    return own, *(np.bincount(code, v, len(own)).astype(np.int64) for v in values)
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        n = np.zeros(2 * TRIE + 2 * CONTEXTS, np.int32)
+        parts: dict[int, list] = {}
         for texts in cp.slices([t for t in b["text"] if t]):
             a = analyse(texts)
             inner = ~(a["last"] & ~a["ended"])  # a token at a text's very end may be cut and teaches nothing
-            whole = inner & ~a["dense"] & ~a["digit"]
-            places = [WORDS + _slot(a["hash"][whole], TRIE)]
-            for size in range(1, 12):
-                longer = np.flatnonzero(whole & (a["end"] - a["start"] > size))
-                if len(longer):
-                    s = a["start"][longer]
-                    places.append(PREFIXES + _slot(cp.span_hashes(a["points"], s, s + size), TRIE))
+            whole = np.flatnonzero(inner & ~a["dense"] & ~a["digit"])
+            code, words = pd.factorize(a["hash"][whole].view(np.int64))
+            n = np.bincount(code, minlength=len(words))
+            first = np.zeros(len(words), np.int64)
+            first[code[::-1]] = whole[::-1]
+            h, owner = prefixes(a["points"], a["start"][first], a["end"][first])
+            nothing = np.zeros(len(words), np.int64)
+            parts.setdefault(WORD, []).append(_summed(np.concatenate((words, h.view(np.int64))), np.concatenate((n, np.zeros(len(h), np.int64))), np.concatenate((nothing, n[owner]))))
+            ended = a["ended"][inner]
             for level, c in enumerate(a["contexts"]):
-                at = _context(c[inner], level)
-                places += [SEEN + at, ENDED + at[a["ended"][inner]]]
-            for at in places:
-                bucket, times = np.unique(at, return_counts=True)
-                n[bucket] += times.astype(np.int32)
-        at = np.flatnonzero(n)
-        yield pd.DataFrame({"bucket": at.astype(np.int32), "n": n[at].astype(np.int64)})
-
-
-def learn(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The trie (counts of words, counts of prefixes) and, by context, the share of ends (-1 where it was hardly seen),
-    in tables of fixed size; counts are summed in each batch and then by Spark."""
-    got = documents.where("text IS NOT NULL AND text <> ''").select("text").mapInPandas(_count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    return compact(got.where((F.col("bucket") < SEEN) | (F.col("bucket") >= ENDED) | (F.col("n") >= ENOUGH)).toPandas())
+                parts.setdefault(CONTEXT + level, []).append(_summed(c[inner].view(np.int64), np.ones(len(ended), np.int64), ended))
+        for kind, each in parts.items():
+            keys, n, m = _summed(*(np.concatenate(x) for x in zip(*each)))
+            yield pd.DataFrame({"kind": np.full(len(keys), kind, np.int8), "key": keys, "n": n, "m": m})
 
 
-def compact(got: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    n = np.zeros(2 * TRIE + 2 * CONTEXTS, np.float32)
-    n[got["bucket"].to_numpy()] = got["n"].to_numpy()
-    seen, ended = n[SEEN:ENDED], n[ENDED:]
-    share = (ended / np.maximum(seen, 1)).astype(np.float16)
-    share[(share < 0.02) & ((seen < 20) | (share >= 0.01))] = 0.02  # exactly 0 only where it is certain
-    share[(seen >= 20) & (share < 0.01)] = 0
-    share[seen < ENOUGH] = -1
-    return n[:SEEN].reshape(2, TRIE).copy(), share
+def learn(documents: DataFrame) -> DataFrame:
+    """(kind, key, n, m): how often each word was seen and how many longer words start with it; how often each context
+    was seen and how many ends followed.  Counts are exact by 64-bit key; they are summed in each batch and then by Spark."""
+    counted = documents.where("text IS NOT NULL AND text <> ''").select("text").mapInPandas(_count, "kind tinyint, key bigint, n bigint, m bigint")
+    got = counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    return got.where((F.col("kind") == WORD) | (F.col("n") >= ENOUGH))
 
 
 def limits(documents: DataFrame) -> set[tuple[str, str, int]]:
@@ -196,88 +198,92 @@ def _row_cut(text: str) -> bool | None:
     return None
 
 
-class Judge:
-    def __init__(self, learned: tuple[np.ndarray, np.ndarray], piled: set):
-        (self.counts, self.share), self.piled = learned, piled
-
-    def judge(self, texts: list[str], sources: list[str | None]) -> list[bool]:
-        tails, marks = [], []
-        for t in texts:
-            t = t.rstrip()
-            cut = OMITTED.sub("", t)
-            marks.append(len(cut) < len(t))
-            tails.append(cut or t)
-        a = analyse(tails)
-        at_last = np.flatnonzero(a["last"])
-        owner = a["owner"][at_last]
-        slot = dict(zip(owner.tolist(), at_last.tolist()))
-        out = []
-        for k, (t, tail) in enumerate(zip(texts, tails)):
-            j = slot.get(k)
-            piled = any((sources[k] or "", unit, size) in self.piled for unit, size in (("chars", len(t)), ("bytes", len(t.encode("utf-8", "replace")))))
-            out.append(j is not None and self._cut(tail, a, j, k, piled, marks[k]))
-        return out
-
-    def _cut(self, tail: str, a: dict, j: int, k: int, piled: bool, omitted: bool) -> bool:
+CUT, PERIOD, OPEN, APART = 0, 1, 2, 3  # what a text's end calls for: nothing more, its period's, its last words', its last word's counts
+
+
+def questions(texts: list[str], sources: list[str | None], piled: set) -> Iterator[tuple[int, int, float, int, int]]:
+    """(text, rule, least, kind, key): what must be known of each text that may be cut off; a text is cut where the
+    chance of an end is below ``least``.  Texts that are plainly whole have no rows."""
+    tails, marks = [], []
+    for t in texts:
+        t = t.rstrip()
+        cut = OMITTED.sub("", t)
+        marks.append(len(cut) < len(t))
+        tails.append(cut or t)
+    a = analyse(tails)
+    keys, contexts = a["hash"].view(np.int64), [c.view(np.int64) for c in a["contexts"]]
+    at_last = np.flatnonzero(a["last"])
+    for k, j in zip(a["owner"][at_last].tolist(), at_last.tolist()):
+        t, tail, omitted = texts[k], tails[k], marks[k]
         after = tail[a["end"][j] - a["offset"][k]:]  # what follows the last token
-        chance = self._end_chance(a, j)
-        closed = ENDMARK.search(tail) is not None
-        if closed and not omitted:
+        if ENDMARK.search(tail) is not None and not omitted:
             if _open(tail):
-                return True
-            if after != "." or a["digit"][j]:
-                return False
-            s = _context(a["contexts"][0][j:j + 1], 0)[0]
-            return self.share[s] == 0  # the period of an abbreviation: often seen, hardly ever at an end
+                yield k, CUT, 0.0, WORD, 0
+            elif after == "." and not a["digit"][j]:
+                yield k, PERIOD, 0.0, CONTEXT, int(contexts[0][j])
+            continue
         row = _row_cut(tail)
         if row is not None:
-            return row
+            if row:
+                yield k, CUT, 0.0, WORD, 0
+            continue
+        if _open(tail) or re.search(r"[,;:–—=(\[«“„&×-]\s*$", tail) is not None:
+            yield k, CUT, 0.0, WORD, 0
+            continue
         final = re.split(r"\n[ \t]*\n", tail)[-1]
         apart = len(final) < len(tail) and "\n" not in final.strip() and re.match(r"\s*(?:[—–-] ?\w|https?://\S+$|\w+:? [A-Z]+-\d+$)", final) is not None
-        if apart and not omitted:  # a signature, an address or a reference of its own ends without a mark
-            chance = 1.0
+        pile = any((sources[k] or "", unit, size) in piled for unit, size in (("chars", len(t)), ("bytes", len(t.encode("utf-8", "replace")))))
+        rule, least = (APART if apart and not omitted else OPEN), 0.75 if pile else 0.5 if omitted else 0.12
         if not a["dense"][j] and not a["digit"][j] and after == "":
-            h = a["hash"][j:j + 1]
-            known, longer = self.counts[:, _slot(h, TRIE)[0]]
-            if known < 2 and longer >= 2:
-                return True  # an unknown proper prefix of known words
-            if known < 0.02 * longer and chance < 0.5:
-                return True
-        if _open(tail) or re.search(r"[,;:–—=(\[«“„&×-]\s*$", tail) is not None:
-            return True
-        return chance < (0.75 if piled else 0.5 if omitted else 0.12)
-
-    def _end_chance(self, a: dict, j: int) -> float:
-        """How often an end follows the longest context that was seen often enough."""
-        for level in (3, 2, 1, 0):
-            s = _context(a["contexts"][level][j:j + 1], level)[0]
-            if self.share[s] >= 0:
-                return float(self.share[s])
-        return 0.5
+            yield k, rule, least, WORD, int(keys[j])
+        if rule == OPEN:  # a signature, an address or a reference of its own ends without a mark
+            for level, c in enumerate(contexts):
+                yield k, rule, least, CONTEXT + level, int(c[j])
 
 
-def _judge(shared):
+def _ask(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        judge = Judge(*shared.value)
         for b in batches:
-            hits = []
-            for k in range(0, len(b), 500):
-                part = b.iloc[k:k + 500]
-                hits += judge.judge(part["text"].tolist(), part["source"].tolist())
-            yield b[np.array(hits, bool)] if len(b) else b
+            for s in range(0, len(b), 500):
+                part = b.iloc[s:s + 500]
+                rows = list(questions(part["text"].tolist(), part["source"].tolist(), shared.value))
+                if rows:
+                    at, rule, least, kind, key = zip(*rows)
+                    yield pd.DataFrame({"id": part["id"].to_numpy()[list(at)], "rule": np.array(rule, np.int8), "least": least, "kind": np.array(kind, np.int8), "key": np.array(key, np.int64)})
 
     return run
 
 
+def judged(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """(id) of the texts that the counts of their keys show to be cut off."""
+    n, m = F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))
+    share = m / n
+    share = F.when(share >= 0.02, share).when((n >= 20) & (share < 0.01), 0.0).otherwise(0.02)  # exactly 0 only where it is certain
+    word = F.col("kind") == WORD
+    # the longest context that was seen often enough tells how often an end follows
+    of = asked.join(counts, ["kind", "key"], "left").groupBy("id", "rule", "least").agg(
+        F.max(F.when(word, n)).alias("known"), F.max(F.when(word, m)).alias("longer"), F.max_by(F.when(~word & (n >= ENOUGH), share), F.when(~word & (n >= ENOUGH), F.col("kind"))).alias("seen"))
+    chance = F.when(F.col("rule") == APART, 1.0).otherwise(F.coalesce("seen", F.lit(0.5)))
+    unknown = (F.col("known") < 2) & (F.col("longer") >= 2)  # an unknown proper prefix of known words
+    rare = (F.col("known") < 0.02 * F.col("longer")) & (chance < 0.5)
+    cut = F.when(F.col("rule") == CUT, True).when(F.col("rule") == PERIOD, F.col("seen") == 0)  # the period of an abbreviation: often seen, hardly ever at an end
+    return of.where(F.coalesce(cut.otherwise(F.coalesce(unknown | rare, F.lit(False)) | (chance < F.col("least"))), F.lit(False))).select("id").distinct()
+
+
 def cut_off(documents: DataFrame) -> DataFrame:
     """(doc_id, source) of the documents whose text breaks off.
 
     Null, empty and blank texts and junk are no cases; equal texts of one source have equal results; the rows keep no
     other column; an empty table gives an empty table.
     """
-    shared = documents.sparkSession.sparkContext.broadcast((learn(documents), limits(documents)))
-    texts = documents.where(r"text IS NOT NULL AND text RLIKE '\\S'").select("doc_id", "text", "source")
-    found = texts.mapInPandas(_judge(shared), "doc_id bigint, text string, source string")
+    shared = documents.sparkSession.sparkContext.broadcast(limits(documents))
+    source = F.coalesce("source", F.lit(""))
+    own = F.unhex(F.md5(F.concat(F.length(source).cast("string"), F.lit(":"), source, F.col("text"))))
+    texts = documents.where(r"text IS NOT NULL AND text RLIKE '\\S'").select("doc_id", "text", "source", own.alias("id"))
+    asked = durable(texts.select("id", "text", "source").mapInPandas(_ask(shared), "id binary, rule tinyint, least double, kind tinyint, key bigint"))
+    # the counts that are asked for are written first, so that Spark sees the sizes of both sides and splits frequent keys
+    counts = durable(learn(documents).join(asked.select("kind", "key").distinct(), ["kind", "key"], "left_semi"))
+    found = texts.join(judged(asked, counts), "id", "left_semi")
     rules = textstats.learn_rules(documents)
     return textstats.with_stats(found, "source").where(F.expr(textstats.case_of(rules)) != "junk").select("doc_id", "source")
 

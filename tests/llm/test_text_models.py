@@ -120,3 +120,17 @@ def test_cut_off(corpus):
     rates = {r.source: r for r in truncation.rates(corpus).collect()}
     assert rates["a"].cut >= 1 and rates["b"].rate == 0
     assert truncation.cut_off(corpus.limit(0)).count() == 0
+
+
+def test_cut_off_where_hashes_share_a_slot(corpus, spark):
+    """Words whose hashes agree in 19 bits with that of a fragment are other words all the same."""
+    def slot(h):
+        return (np.asarray(h, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(45)
+
+    letters = np.random.default_rng(4).integers(97, 123, (4_000_000, 9)).astype(np.uint32)
+    start = np.arange(0, letters.size, 9)
+    same = np.flatnonzero(slot(cp.span_hashes(letters.ravel(), start, start + 9)) == slot(cp.word_hash("seal")))[:3]
+    assert len(same) == 3
+    other = " ".join("".join(map(chr, letters[k])) for k in same)
+    more = spark.createDataFrame([(5000, prose(9, EN) + " The gate was seal", "en", "c", None, "")] + [(5001 + k, f"The {other} was seen. {prose(k, EN)}", "en", "a", None, "") for k in range(3)], SCHEMA)
+    assert 5000 in {r.doc_id for r in truncation.cut_off(corpus.unionByName(more)).collect()}
