@@ -101,7 +101,7 @@ def prefixes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
         terms = (points[starts[owner] + inner].astype(np.uint64) + np.uint64(1)) * cp._powers()[inner & 63]
         run = np.cumsum(terms, dtype=np.uint64)
         h = run - (run[firsts] - terms[firsts])[owner]
-    proper = (inner + 1 < lengths[owner]) & (inner < 11)
+    proper = inner + 1 < lengths[owner]
     return h[proper], owner[proper]
 
 
@@ -283,7 +283,8 @@ def cut_off(documents: DataFrame) -> DataFrame:
     asked = durable(texts.select("id", "text", "source").mapInPandas(_ask(shared), "id binary, rule tinyint, least double, kind tinyint, key bigint"))
     # the counts that are asked for are written first, so that Spark sees the sizes of both sides and splits frequent keys
     counts = durable(learn(documents).join(asked.select("kind", "key").distinct(), ["kind", "key"], "left_semi"))
-    found = texts.join(judged(asked, counts), "id", "left_semi")
+    # written first, because the filter of junk would else be moved below the join and count statistics of every text
+    found = durable(texts.join(judged(asked, counts), "id", "left_semi").select("doc_id", "source", "text"))
     rules = textstats.learn_rules(documents)
     return textstats.with_stats(found, "source").where(F.expr(textstats.case_of(rules)) != "junk").select("doc_id", "source")
 

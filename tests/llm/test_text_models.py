@@ -134,3 +134,14 @@ def test_cut_off_where_hashes_share_a_slot(corpus, spark):
     other = " ".join("".join(map(chr, letters[k])) for k in same)
     more = spark.createDataFrame([(5000, prose(9, EN) + " The gate was seal", "en", "c", None, "")] + [(5001 + k, f"The {other} was seen. {prose(k, EN)}", "en", "a", None, "") for k in range(3)], SCHEMA)
     assert 5000 in {r.doc_id for r in truncation.cut_off(corpus.unionByName(more)).collect()}
+
+
+def test_cut_off_inside_a_long_word(corpus, spark):
+    more = spark.createDataFrame([(5000, "Ann Müntzig bleef bij de haven verantwoordel", "nl", "c", None, "")] + [(5001 + k, f"Zij is verantwoordelijk. {prose(k, EN)}", "nl", "a", None, "") for k in range(3)], SCHEMA)
+    assert 5000 in {r.doc_id for r in truncation.cut_off(corpus.unionByName(more)).collect()}
+
+
+def test_prefixes_are_whole_and_agree_with_words():
+    points, _ = cp.flatten(["verantwoordelijk"])
+    h, owner = truncation.prefixes(points, np.array([0]), np.array([16]))
+    assert h.tolist() == [cp.word_hash("verantwoordelijk"[:k]) for k in range(1, 16)] and set(owner) == {0}
