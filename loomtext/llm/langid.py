@@ -19,7 +19,7 @@ from loomtext.llm import sentences, textstats
 from loomtext.llm.labels import code_of
 from loomtext.runtime import table
 
-WINDOW, WIDTHS, FILTERS = 48, (2, 3, 4), 16
+WINDOW, WIDTHS, FILTERS = 48, (2, 3, 4), 20
 PLACES = WINDOW - max(WIDTHS) + 1  # where every filter is tried
 PER_LANGUAGE = 250  # most documents of a language that are collected for training (all whose label names it, chosen by hash)
 LEAST_DOCUMENTS = 0.0008  # a label on a smaller share of the documents is taken for an error, not a language of the corpus

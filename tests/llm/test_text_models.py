@@ -145,3 +145,12 @@ def test_prefixes_are_whole_and_agree_with_words():
     points, _ = cp.flatten(["verantwoordelijk"])
     h, owner = truncation.prefixes(points, np.array([0]), np.array([16]))
     assert h.tolist() == [cp.word_hash("verantwoordelijk"[:k]) for k in range(1, 16)] and set(owner) == {0}
+
+
+def test_network_has_twenty_filters_a_width_in_both_passes():
+    net = langid.Net(["en", "es", "pt"])
+    assert net.dense.shape[0] == 20 * len(langid.WIDTHS)
+    x = np.random.default_rng(0).integers(0, 256, (70, langid.WINDOW)).astype(np.uint8)
+    z = net.pooled(x)[0] @ net.dense + net.shift
+    want = z - np.log(np.exp(z).sum(1, keepdims=True))
+    assert np.allclose(net.log_probabilities(x), want, atol=1e-4)
