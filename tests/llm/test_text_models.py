@@ -154,3 +154,22 @@ def test_network_has_twenty_filters_a_width_in_both_passes():
     z = net.pooled(x)[0] @ net.dense + net.shift
     want = z - np.log(np.exp(z).sum(1, keepdims=True))
     assert np.allclose(net.log_probabilities(x), want, atol=1e-4)
+
+
+def test_units_follow_a_change_of_language():
+    """Gal. ends English sentences and is a Spanish title; the language is that of the place, not of the text's start."""
+    en = [prose(k, EN) + " We filled one gal." for k in range(200)]
+    es = [f"El Gal. Pellicant durmió. {prose(k, ES)}" for k in range(200)]
+    c = np.zeros(sentences.BUCKETS, np.float32)
+    for b in sentences._count([pd.DataFrame({"text": en + es, "lang": ["en"] * 200 + ["es"] * 200})]):
+        c[b.bucket] = b.n
+    judge = sentences.Judge(c)
+    english, spanish = " ".join(en[:30]), "El Gal. Pellicant revisó la válvula durante la noche. Nadie cerró el almacén. " + prose(3, ES)
+
+    def ends(t):
+        return {t[s:e].split()[-1] for s, e in sentences.split_text(t, judge)}
+
+    assert len(english) > 5_000
+    assert "Gal." not in ends(english + " " + spanish) and "gal." in ends(english + " " + spanish)  # in one block
+    short = "El Gal. Pellicant durmió."
+    assert "Gal." not in ends("\n\n".join([english] * 4 + [" ".join(es)] * 3 + [short]))  # of fewer than 8 tokens, judged by the whole text
