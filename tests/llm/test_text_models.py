@@ -173,3 +173,14 @@ def test_units_follow_a_change_of_language():
     assert "Gal." not in ends(english + " " + spanish) and "gal." in ends(english + " " + spanish)  # in one block
     short = "El Gal. Pellicant durmió."
     assert "Gal." not in ends("\n\n".join([english] * 4 + [" ".join(es)] * 3 + [short]))  # of fewer than 8 tokens, judged by the whole text
+
+
+def test_a_wide_run_is_restored_beside_a_short_one():
+    clean = ["Ann Müntzig slept.", "鍵は霧谷倉庫へ運ばれました。江里須港の引き継ぎは誰も答えなかった。"] * 40
+    n = np.zeros(mojibake.BUCKETS)
+    for b in mojibake._train([pd.DataFrame({"text": clean, "metadata_json": None})]):
+        n[b.bucket] += b.n
+    r = mojibake.Restorer(np.log((n + 0.02) / (n.sum() + 0.02 * mojibake.BUCKETS)).astype(np.float32), 1.8)
+    wide = "江里須港の引き継ぎは誰も答えなかった。"
+    text = "Ann MÃ¼ntzig slept.\n" + "".join(bytes([x]).decode("cp1252", "ignore") or chr(x) for x in wide.encode("shift_jis"))
+    assert r.restored(text, r.suspicious([text])[0])[0] == "Ann Müntzig slept.\n" + wide
