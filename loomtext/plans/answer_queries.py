@@ -68,6 +68,7 @@ QUERIES = {
     "rank_documents": lambda spark, d: ranking.rank_documents(table(spark, d, "documents"), TARGET, RELATION, LEXICAL),
     "lexical_search": lambda spark, d: ranking.lexical_search(_sentences(spark, d), "sentence_id", QUERY, REQUIRED),
     "token_postings": _postings,
+    "token_rows": lambda spark, d: ranking.term_counts(table(spark, d, "documents"), "doc_id"),
     "neighbour_window": _neighbours,
     "metadata_prior": _prior,
     "bind_relations": _bound,
@@ -102,6 +103,7 @@ _MATCH = f"{norm('predicate || chr(32) || subject || chr(32) || value')}"
 SQL = {
     "rank_documents": f"SELECT d.doc_id, d.rel_path, round(CASE WHEN {NOISE} THEN 0.2 * s ELSE 1.0 * s END, 6) AS score FROM (SELECT doc_id, rel_path, {_SCORE} AS s, {_hits('m', TARGET)} AS t FROM (SELECT doc_id, rel_path, {norm('text')} AS m FROM documents WHERE text <> '')) d JOIN ({QUALITY}) USING (doc_id) WHERE s > 0 AND t > 0 ORDER BY score DESC, rel_path, doc_id LIMIT 40",
     "lexical_search": f"SELECT sentence_id, CAST({_SHARED} + {_EXTRA} AS DOUBLE) AS score FROM (SELECT sentence_id, {toks('text')} AS k, {norm('text')} AS m FROM ({_SENT})) WHERE {_SHARED} + {_EXTRA} > 0 ORDER BY score DESC, sentence_id LIMIT 20",
+    "token_rows": f"SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({toks('text')}) AS token FROM documents) GROUP BY 1, 2",
     "token_postings": f"SELECT token, count(*) AS documents, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({toks('text')}) AS token FROM documents) GROUP BY 1, 2) GROUP BY token ORDER BY documents DESC, token LIMIT 100",
     "neighbour_window": f"SELECT c.document_id, CAST(c.chunk_order AS BIGINT) AS chunk_order, c.chunk_id, CAST(min(abs(c.chunk_order - h.chunk_order)) AS BIGINT) AS distance FROM ({_CH}) c JOIN ({_CH}) h ON c.document_id = h.document_id AND abs(c.chunk_order - h.chunk_order) <= 4 AND contains(lower(h.text), 'parcel cage') GROUP BY 1, 2, 3",
     "metadata_prior": f"SELECT doc_id, rel_path, 4 * {_hits(norm('rel_path'), ['notes', 'logs', 'claims'])} AS score FROM documents WHERE {_hits(norm('rel_path'), ['notes', 'logs', 'claims'])} > 0 ORDER BY score DESC, rel_path, doc_id LIMIT 8",

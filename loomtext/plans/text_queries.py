@@ -48,6 +48,10 @@ def _phrases(spark, d):
     return lines(docs(spark, d)).select(F.explode(X.all_of(F.col("text"), X.PHRASE)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "phrase").limit(100)
 
 
+def _phrase_rows(spark, d):
+    return lines(docs(spark, d)).select("doc_id", F.explode(X.all_of(F.col("text"), X.PHRASE)).alias("phrase")).groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
+
+
 def _stamps(spark, d):
     return table(spark, d, "measurements").select(F.explode(X.timestamps(F.col("c0"))).alias("stamp")).groupBy("stamp").agg(F.count("*").alias("n"))
 
@@ -70,6 +74,7 @@ QUERIES = {
     "identifier_extract": _values(lambda t: X.all_of(t, X.PREFIX_ID), "identifier"),
     "identifier_families": _families,
     "phrase_extract": _phrases,
+    "phrase_rows": _phrase_rows,
     "timestamps_rel": _stamps,
     "label_values": lambda spark, d: _grouped(R.label_relations(docs(spark, d))),
     "object_pairs": lambda spark, d: _grouped(R.object_relations(docs(spark, d))),
@@ -94,6 +99,7 @@ SQL = {
     "identifier_extract": f"SELECT doc_id, identifier, count(*) AS n FROM (SELECT doc_id, unnest({every('text', X.PREFIX_ID)}) AS identifier FROM documents) GROUP BY 1, 2",
     "identifier_families": f"SELECT doc_id, len({every('text', X.LOWER_ID)}) AS lower_ids, len({every('text', X.EMAIL)}) AS emails, len({every('text', X.FILE_LIKE)}) AS file_like FROM documents WHERE text IS NOT NULL",
     "phrase_extract": f"SELECT phrase, count(*) AS n FROM (SELECT unnest({every('text', X.PHRASE)}) AS phrase FROM ({FULL_LINES})) GROUP BY 1 ORDER BY n DESC, phrase LIMIT 100",
+    "phrase_rows": f"SELECT doc_id, phrase, count(*) AS n FROM (SELECT doc_id, unnest({every('text', X.PHRASE)}) AS phrase FROM ({FULL_LINES})) GROUP BY 1, 2",
     "timestamps_rel": f"SELECT stamp, count(*) AS n FROM (SELECT unnest({every('c0', X.TIMESTAMP)}) AS stamp FROM measurements) GROUP BY 1",
     "label_values": f"SELECT doc_id, subject, value, count(*) AS n FROM ({LABELS}) GROUP BY 1, 2, 3",
     "object_pairs": f"SELECT doc_id, subject, value, count(*) AS n FROM ({PAIRS}) GROUP BY 1, 2, 3",
