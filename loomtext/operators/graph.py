@@ -10,12 +10,13 @@ from loomtext.functions.text import normalize, stable_id
 from loomtext.operators.units import lines
 
 
-def mentions(documents: DataFrame, cap: int = 128) -> DataFrame:
-    """(doc_id, line, item, surface, entity_type) of addresses, identifiers and phrases, at most ``cap`` a line."""
+def mentions(documents: DataFrame, cap: int | None = None) -> DataFrame:
+    """(doc_id, line, item, surface, entity_type) of addresses, identifiers and phrases; at most ``cap`` a line, where it is given."""
     typed = lambda values, kind: F.transform(values, lambda v: F.struct(v.alias("surface"), F.lit(kind).alias("entity_type")))
     found = F.concat(*[typed(values, kind) for values, kind in (
         (extract.urls(F.col("text")), "url"), (extract.all_of(F.col("text"), extract.PREFIX_ID), "identifier"), (extract.phrases(F.col("text")), "name"))])
-    return lines(documents).select("doc_id", "line", F.posexplode(F.slice(F.array_distinct(found), 1, cap)).alias("item", "m")).select("doc_id", "line", "item", "m.surface", "m.entity_type")
+    own = F.array_distinct(found)
+    return lines(documents).select("doc_id", "line", F.posexplode(own if cap is None else F.slice(own, 1, cap)).alias("item", "m")).select("doc_id", "line", "item", "m.surface", "m.entity_type")
 
 
 def referents(found: DataFrame) -> DataFrame:
