@@ -1,9 +1,10 @@
 """Text cut off by field limits (problem 9).
 
-Spark counts the words of the corpus and their proper prefixes, and how often the words before a place are followed by an
-end, by exact 64-bit keys; only the keys of the ends of texts are joined to their counts.  A text is cut off where its last token is an unknown proper
-prefix of known words or where its last words are hardly ever followed by an end; lengths at which a source's texts pile
-up raise the suspicion.
+Spark counts, by exact 64-bit keys, the trie of the corpus: every word and every proper prefix of a word, alone and after
+the word before it, and longer stretches of words; each node holds how often it was seen whole, how often as the start of
+a longer word, and how often an end followed.  Only the nodes at the ends of texts are joined to their counts.  A text is
+cut off where its last token is an unknown proper prefix of known words or its last words are hardly ever followed by an
+end; lengths at which a source's texts pile up raise the suspicion.
 """
 
 from __future__ import annotations
@@ -13,17 +14,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm import codepoints as cp
-from loomtext.llm import textstats
+from loomtext.llm import mojibake, textstats
 from loomtext.runtime import durable, table
 
-WORD, CONTEXT = 0, 1  # kinds of counted keys: words with what is longer; contexts of four lengths from the shortest, 1 to 4
-ENOUGH = 3  # times a context must have been seen to be believed
-PILE = 4.0  # times the mean of a source's neighbouring lengths that make a length a limit
+LEVELS = 4  # stretches of one to four words (of one, two, three and six characters of scripts without spaces)
+FORM = LEVELS  # kind of the forms of first lines of paragraphs; kinds below are levels
+WEIGHT = 2.0  # pseudo-counts by which a shorter stretch speaks for a longer one
+PRIOR = 0.15  # chance of an end after a stretch of which nothing is known
+PILE = 6.0  # times the mean of a source's neighbouring lengths that make a length a limit
+FORM_TOKENS = 8  # a first line of more tokens has no form of its own
 OMITTED = re.compile(r"\s*(?:\[(?:…|\.\.\.)\]|\((?:…|\.\.\.)\)|…|\.\.\.)$")
+SAID = re.compile(r"[\[(](?:…|\.\.\.)[\])]$")
+COLUMNS = ("whole", "longer", "ended", "dotted", "closed")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
@@ -35,7 +41,8 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def analyse(texts: list[str]) -> dict[str, np.ndarray]:
     """Tokens of all texts: words, or single characters of scripts without spaces; numbers count as one token.  For each
-    its text, span, hash, the hashes of its contexts (short to long), and whether an end follows."""
+    its text, span, keys of four levels (short to long), what stands left of it, whether an end follows, whether a period
+    follows at once and closes its line, and the form of its line up to it."""
     points, starts = cp.flatten(texts)
     f = cp.flags_of(points)
     shape = textstats.line_shapes(points, f)
@@ -65,28 +72,54 @@ def analyse(texts: list[str]) -> dict[str, np.ndarray]:
     empty = ~shape["full"]
     next_empty = np.append(empty[1:], True)[line_of]
     breaks += newline & (structured | next_empty)
+    breaks += blank & (cp.shifted(script, -1) == 7)  # a blank after Thai parts sentences or clauses
+    breaks[starts[1:] - 1] += 1  # a text's end; a text that is cut off is taken out again where it is judged
+    marks = ~blank & ~word
     total = np.concatenate(([0], np.cumsum(breaks)))
-    other = np.concatenate(([0], np.cumsum(~blank & ~word)))
     nxt = np.append(ws[1:], len(points))
     last = np.append(owner[1:] != owner[:-1], True)
     until = np.where(last, starts[owner + 1], nxt)
     ended = total[until] - total[we] > 0
-    gap = np.where(ended, 2, np.where(other[until] - other[we] > 0, 1, 0)).astype(np.uint64)
-    before = np.concatenate(([np.uint64(2)], gap[:-1]))
-    before[np.concatenate(([True], owner[1:] != owner[:-1]))] = np.uint64(2)
-    contexts, c = [], h.copy()
+    first = np.concatenate(([True], owner[1:] != owner[:-1])) if len(ws) else np.zeros(0, bool)
+    # what stands before a token: the last mark since the token before it, all end marks alike, and whether an end came
+    ink = np.maximum.accumulate(np.where(blank, 0, np.arange(len(points))))[np.maximum(ws - 1, 0)]
+    floor = np.where(first, starts[owner], np.concatenate(([0], we[:-1]))) if len(ws) else ws
+    mark_before = np.where((ink >= floor) & (ink < ws) & ~blank[ink], np.where(end[ink], ord("."), points[ink]), 0).astype(np.uint64)
+    broke = np.where(first, True, np.concatenate(([True], ended[:-1]))) if len(ws) else first
+    before = mark_before * np.uint64(2) + broke.astype(np.uint64)
+    levels, left, c = [], [], h.copy()
     back = np.arange(len(ws))
     alive = np.ones(len(ws), bool)
-    levels = []
-    for depth in range(6):
-        levels.append(c.copy())
-        g = before[back]
-        alive = alive & (g != 2) & (back > 0)
-        prev = np.where(alive, h[np.maximum(back - 1, 0)], np.uint64(1))
-        c = _mix(c, prev * np.uint64(3) + g)
+    ahead = np.zeros(len(ws), np.uint64)  # all that stands left of the token within the stretch
+    for _ in range(6):
+        levels.append(_mix(ahead, c) if len(left) else c)
+        more = alive & ~broke[back]
+        prev = np.where(more, h[np.maximum(back - 1, 0)], np.uint64(1))
+        ahead = np.where(alive, _mix(_mix(ahead, prev), before[back]), ahead)
+        left.append(ahead.copy())
+        alive = more
         back = np.where(alive, back - 1, back)
-    contexts = [np.where(one, levels[b], levels[a]) for a, b in ((0, 1), (1, 2), (2, 3), (3, 5))]
-    return {"points": low, "owner": owner, "start": ws, "end": we, "hash": h, "contexts": contexts, "ended": ended, "last": last, "dense": one, "offset": starts, "digit": digit[ws]}
+    keys = [np.where(one, levels[b], levels[a]) for a, b in ((0, 0), (1, 1), (2, 2), (3, 5))]
+    after = np.minimum(we, len(points) - 1)
+    dotted = points[after] == ord(".")
+    closed = dotted & newline[np.minimum(we + 1, len(points) - 1)]
+    # the form of a paragraph's first line up to each of its tokens: marks, capitals, numbers
+    line = line_of[ws]
+    opens = (np.concatenate(([True], empty[:-1])) | np.isin(shape["start"], starts[:-1]))[line]
+    nth = np.arange(len(ws)) - np.searchsorted(line, line, "left")
+    mark = np.where(marks, (points + np.uint32(1)).astype(np.uint64), np.uint64(0))
+    run = np.concatenate(([np.uint64(0)], np.cumsum(mark * np.uint64(0x2545F491), dtype=np.uint64)))
+    upper = (f & cp.UPPER) != 0
+    piece = np.where(digit[ws], 3, np.where(upper[ws], np.where(upper[np.minimum(ws + 1, len(points) - 1)], 2, 1), np.where(one, 4, 0))).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        upto = run[ws] - run[shape["start"][line]]  # sums of marks are exact, whatever their order
+        own = (piece + np.uint64(1)) * cp._powers()[np.minimum(nth, 63)]
+        total_own = np.concatenate(([np.uint64(0)], np.cumsum(own, dtype=np.uint64)))
+        form = _mix(total_own[np.arange(len(ws)) + 1] - total_own[np.arange(len(ws)) - nth], upto)
+    has_form = opens & (nth < FORM_TOKENS)
+    next_newline = newline[after] & (np.append(empty[1:], True) | np.isin(shape["end"] + 1, starts))[line]
+    return {"points": low, "owner": owner, "start": ws, "end": we, "hash": h, "left": left[0] if left else c, "keys": keys, "ended": ended, "last": last, "dense": one, "offset": starts, "digit": digit[ws],
+            "dotted": dotted, "closed": closed, "form": form, "has_form": has_form, "alone": next_newline}
 
 
 def prefixes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,10 +138,21 @@ def prefixes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     return h[proper], owner[proper]
 
 
-def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+def _summed(keys: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
     """Each distinct key and the sums of its values."""
     code, own = pd.factorize(keys)
-    return own, *(np.bincount(code, v, len(own)).astype(np.int64) for v in values)
+    return [own, *(np.bincount(code, v, len(own)).astype(np.int64) for v in values)]
+
+
+def _prefix_rows(a: dict, own: np.ndarray, left: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the proper prefixes of the words at the places ``own``, after what stands left of them, and how often each is one."""
+    pair = a["hash"][own] if left is None else _mix(left[own], a["hash"][own])
+    code, words = pd.factorize(pair.view(np.int64))
+    n = np.bincount(code, minlength=len(words))
+    first = np.zeros(len(words), np.int64)
+    first[code[::-1]] = own[::-1]
+    h, owner = prefixes(a["points"], a["start"][first], a["end"][first])
+    return (h if left is None else _mix(left[first][owner], h)).view(np.int64), n[owner]
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,42 +160,48 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts: dict[int, list] = {}
         for texts in cp.slices([t for t in b["text"] if t]):
             a = analyse(texts)
-            inner = ~(a["last"] & ~a["ended"])  # a token at a text's very end may be cut and teaches nothing
-            whole = np.flatnonzero(inner & ~a["dense"] & ~a["digit"])
-            code, words = pd.factorize(a["hash"][whole].view(np.int64))
-            n = np.bincount(code, minlength=len(words))
-            first = np.zeros(len(words), np.int64)
-            first[code[::-1]] = whole[::-1]
-            h, owner = prefixes(a["points"], a["start"][first], a["end"][first])
-            nothing = np.zeros(len(words), np.int64)
-            parts.setdefault(WORD, []).append(_summed(np.concatenate((words, h.view(np.int64))), np.concatenate((n, np.zeros(len(h), np.int64))), np.concatenate((nothing, n[owner]))))
-            ended = a["ended"][inner]
-            for level, c in enumerate(a["contexts"]):
-                parts.setdefault(CONTEXT + level, []).append(_summed(c[inner].view(np.int64), np.ones(len(ended), np.int64), ended))
+            ones, none = np.ones(len(a["start"]), np.int64), np.zeros(len(a["start"]), np.int64)
+            inner = np.flatnonzero(~a["dense"] & ~a["digit"] & ~a["last"])  # the last word of a text may be cut and starts nothing
+            for level, key in enumerate(a["keys"]):
+                keys, values = [key.view(np.int64)], [[ones, none, a["ended"], a["dotted"], a["closed"]]]
+                if level < 2:
+                    h, n = _prefix_rows(a, inner, a["left"] if level else None)
+                    keys.append(h)
+                    values.append([z := np.zeros(len(h), np.int64), n, z, z, z])
+                parts.setdefault(level, []).append(_summed(np.concatenate(keys), [np.concatenate(v) for v in zip(*values)]))
+            at = np.flatnonzero(a["has_form"])
+            parts.setdefault(FORM, []).append(_summed(a["form"][at].view(np.int64), [ones[at], none[at], a["alone"][at], none[at], none[at]]))
         for kind, each in parts.items():
-            keys, n, m = _summed(*(np.concatenate(x) for x in zip(*each)))
-            yield pd.DataFrame({"kind": np.full(len(keys), kind, np.int8), "key": keys, "n": n, "m": m})
+            keys, *values = (np.concatenate(x) for x in zip(*each))
+            keys, *values = _summed(keys, values)
+            yield pd.DataFrame({"kind": np.full(len(keys), kind, np.int8), "key": keys, **dict(zip(COLUMNS, values))})
 
 
 def learn(documents: DataFrame) -> DataFrame:
-    """(kind, key, n, m): how often each word was seen and how many longer words start with it; how often each context
-    was seen and how many ends followed.  Counts are exact by 64-bit key; they are summed in each batch and then by Spark."""
-    counted = documents.where("text IS NOT NULL AND text <> ''").select("text").mapInPandas(_count, "kind tinyint, key bigint, n bigint, m bigint")
-    got = counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    return got.where((F.col("kind") == WORD) | (F.col("n") >= ENOUGH))
+    """(kind, key, whole, longer, ended, dotted, closed): how often each node of the trie was seen whole, how many longer
+    words start with it, how often an end followed, and how often a period followed at once and closed its line.  Counts
+    are exact by 64-bit key; they are summed in each batch and then by Spark."""
+    counted = documents.where("text IS NOT NULL AND text <> ''").select("text").mapInPandas(_count, "kind tinyint, key bigint, " + ", ".join(f"{c} bigint" for c in COLUMNS))
+    return counted.groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in COLUMNS])
 
 
-def limits(documents: DataFrame) -> set[tuple[str, str, int]]:
-    """(source, unit, length) at which the lengths of a source's texts pile up, in characters or bytes.
+def _piled(sized: DataFrame) -> DataFrame:
+    """(source, size) of the sizes at which five texts of a source or more, and at least one in two hundred of them, have
+    their end, ``PILE`` times as many as at the sizes around."""
+    at = sized.groupBy("source", "size").count()
+    around = Window.partitionBy("source").orderBy("size").rangeBetween(-10, 10)  # distinct sizes only, not texts
+    near = at.withColumn("near", (F.sum("count").over(around) - F.col("count")) / 20).withColumn("total", F.sum("count").over(Window.partitionBy("source")))
+    return near.where((F.col("count") >= 5) & (F.col("count") * 200 >= F.col("total")) & (F.col("count") > PILE * F.col("near"))).select("source", "size")
 
-    A limit stops at least one text in two hundred of its source, so there are at most four hundred of a source.
-    """
-    sized = documents.where("text IS NOT NULL AND text <> ''").select(F.coalesce("source", F.lit("")).alias("source"), F.explode(F.array(
-        F.struct(F.lit("chars").alias("unit"), F.length("text").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("size")))).alias("s"))
-    at = sized.groupBy("source", "s.unit", "s.size").count()
-    all_of = at.groupBy("source", "unit").agg(F.sum("count").alias("total"), F.max("size").alias("most"), F.count("*").alias("sizes"))
-    piled = at.join(all_of, ["source", "unit"]).where((F.col("count") >= 5) & (F.col("count") * 200 >= F.col("total")) & (F.col("count") > PILE * F.col("total") / F.col("sizes")))
-    return {(r["source"], r["unit"], r["size"]) for r in piled.collect()}
+
+def limits(documents: DataFrame) -> set[tuple[str, str, int]]:
+    """(source, unit, length) at which the lengths of a source's texts pile up, in characters, or in bytes where it is
+    not the characters that pile up.  A limit stops at least one text in two hundred of its source, so there are at most
+    four hundred of a source."""
+    texts = documents.where("text IS NOT NULL AND text <> ''").select(F.coalesce("source", F.lit("")).alias("source"), F.length("text").alias("size"), F.octet_length("text").alias("bytes"))
+    chars = _piled(texts.select("source", "size"))
+    rest = texts.join(F.broadcast(chars), ["source", "size"], "left_anti").select("source", F.col("bytes").alias("size"))
+    return {(r["source"], r["unit"], r["size"]) for r in chars.withColumn("unit", F.lit("chars")).unionByName(_piled(rest).withColumn("unit", F.lit("bytes"))).collect()}
 
 
 PAIRS = {"“": "”", "«": "»", "„": "“”", "「": "」", "『": "』", "（": "）", "(": ")"}
@@ -180,11 +230,12 @@ def _open(text: str) -> bool:
 
 
 def _row_cut(text: str) -> bool | None:
-    """For a text whose last lines are rows: whether the last has fewer cells, or no closing mark as the others have."""
-    lines = text.split("\n")
+    """For a text whose last lines are rows: whether the last has fewer cells than the row before, or no closing mark as it
+    has; None for other texts."""
+    lines = re.split(r"\n[ \t]*\n", text)[-1].split("\n")
     if len(lines) < 2:
         return None
-    last, rows = lines[-1], lines[max(0, len(lines) - 6):-1]
+    last, rows = lines[-1], lines[:-1]
     if last.startswith("|") and rows[-1].startswith("|"):
         return not last.rstrip().endswith("|") or last.count("|") < rows[-1].count("|")
     if last.lstrip().startswith("{") and rows[-1].lstrip().startswith("{"):
@@ -194,51 +245,66 @@ def _row_cut(text: str) -> bool | None:
         if mark == "," and " " in re.sub(r"[^,]*,(.)[^,]*", r"\1", last):
             continue
         if max(n[:-1]) >= 2 and n[-2] >= 2:
-            return True if n[-1] < n[-2] else None
+            return n[-1] < n[-2]
     return None
 
 
-CUT, PERIOD, OPEN, APART = 0, 1, 2, 3  # what a text's end calls for: nothing more, its period's, its last words', its last word's counts
+def _end_of(text: str, words: int = 8) -> str:
+    """The end of a text with at least so many of its last tokens and its whole last paragraph, from the start of a line."""
+    at = max(text.rfind("\n\n") + 1, 0)
+    while at > 0 and len(re.findall(r"\w+", text[at:])) < words:
+        at = max(text.rfind("\n", 0, at - 1) + 1, 0)
+    return text[at:] if at else text
+
+
+CUT, PERIOD, OPEN, ROW = 0, 1, 2, 3  # what a text's end calls for: nothing more, its period's counts, its last words', its last word's alone
+CLOSING = re.compile(r"[|}\])]$")
 
 
 def questions(texts: list[str], sources: list[str | None], piled: set) -> Iterator[tuple[int, int, float, int, int]]:
     """(text, rule, least, kind, key): what must be known of each text that may be cut off; a text is cut where the
     chance of an end is below ``least``.  Texts that are plainly whole have no rows."""
-    tails, marks = [], []
+    tails, omitted = [], []
     for t in texts:
-        t = t.rstrip()
+        t = mojibake.easily_undone(t).rstrip()
         cut = OMITTED.sub("", t)
-        marks.append(len(cut) < len(t))
-        tails.append(cut or t)
-    a = analyse(tails)
-    keys, contexts = a["hash"].view(np.int64), [c.view(np.int64) for c in a["contexts"]]
+        lost = cut.rstrip("\ufffd")  # a character cut in half, or a sign that was lost
+        omitted.append(2 if SAID.search(t) else 1 if len(lost) < len(t) else 0)
+        tails.append(lost or t)
+    a = analyse([_end_of(t) for t in tails])
+    keys = [c.view(np.int64) for c in a["keys"]]
+    form = a["form"].view(np.int64)
     at_last = np.flatnonzero(a["last"])
     for k, j in zip(a["owner"][at_last].tolist(), at_last.tolist()):
-        t, tail, omitted = texts[k], tails[k], marks[k]
-        after = tail[a["end"][j] - a["offset"][k]:]  # what follows the last token
-        if ENDMARK.search(tail) is not None and not omitted:
+        t, tail = texts[k], tails[k]
+        after = tail[len(tail) - (int(a["offset"][k + 1]) - 1 - int(a["end"][j])):] if a["offset"][k + 1] - 1 > a["end"][j] else ""  # what follows the last token
+        size = len(t.encode("utf-8", "replace"))
+        widest = max(len(c.encode("utf-8", "replace")) for c in t[-40:])  # a limit in bytes drops a character that would be cut
+        pile = ((sources[k] or ""), "chars", len(t)) in piled or any(((sources[k] or ""), "bytes", size + d) in piled for d in range(widest))
+        if omitted[k] == 2:
+            yield k, CUT, 0.0, FORM, 0
+        elif ENDMARK.search(tail) is not None and not omitted[k]:
             if _open(tail):
-                yield k, CUT, 0.0, WORD, 0
-            elif after == "." and not a["digit"][j]:
-                yield k, PERIOD, 0.0, CONTEXT, int(contexts[0][j])
-            continue
-        row = _row_cut(tail)
-        if row is not None:
-            if row:
-                yield k, CUT, 0.0, WORD, 0
-            continue
-        if _open(tail) or re.search(r"[,;:–—=(\[«“„&×-]\s*$", tail) is not None:
-            yield k, CUT, 0.0, WORD, 0
-            continue
-        final = re.split(r"\n[ \t]*\n", tail)[-1]
-        apart = len(final) < len(tail) and "\n" not in final.strip() and re.match(r"\s*(?:[—–-] ?\w|https?://\S+$|\w+:? [A-Z]+-\d+$)", final) is not None
-        pile = any((sources[k] or "", unit, size) in piled for unit, size in (("chars", len(t)), ("bytes", len(t.encode("utf-8", "replace")))))
-        rule, least = (APART if apart and not omitted else OPEN), 0.75 if pile else 0.5 if omitted else 0.12
-        if not a["dense"][j] and not a["digit"][j] and after == "":
-            yield k, rule, least, WORD, int(keys[j])
-        if rule == OPEN:  # a signature, an address or a reference of its own ends without a mark
-            for level, c in enumerate(contexts):
-                yield k, rule, least, CONTEXT + level, int(c[j])
+                yield k, CUT, 0.0, FORM, 0
+            elif after == ".":
+                for level in (0, 1):
+                    yield k, PERIOD, 0.0, level, int(keys[level][j])
+        elif (row := _row_cut(tail)) is not None:
+            if row or pile and a["digit"][j] and after == "":
+                yield k, CUT, 0.0, FORM, 0
+            else:  # as wide as the row before: only its last word can tell
+                for level in (0, 1):
+                    yield k, ROW, 0.0, level, int(keys[level][j])
+        elif _open(tail) or re.search(r"[,;:–—=(\[«“„&×-]\s*$", tail) is not None:
+            yield k, CUT, 0.0, FORM, 0
+        elif not (pile and CLOSING.search(tail)):
+            least = 0.9 if pile else 0.5 if omitted[k] else 0.12
+            if pile and a["digit"][j] and after == "":
+                least = 1.0
+            for level, c in enumerate(keys):
+                yield k, OPEN, least, level, int(c[j])
+            if a["has_form"][j] and not pile and not omitted[k]:
+                yield k, OPEN, least, FORM, int(form[j])
 
 
 def _ask(shared):
@@ -255,19 +321,24 @@ def _ask(shared):
 
 
 def judged(asked: DataFrame, counts: DataFrame) -> DataFrame:
-    """(id) of the texts that the counts of their keys show to be cut off."""
-    n, m = F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))
-    share = m / n
-    share = F.when(share >= 0.02, share).when((n >= 20) & (share < 0.01), 0.0).otherwise(0.02)  # exactly 0 only where it is certain
-    word = F.col("kind") == WORD
-    # the longest context that was seen often enough tells how often an end follows
-    of = asked.join(counts, ["kind", "key"], "left").groupBy("id", "rule", "least").agg(
-        F.max(F.when(word, n)).alias("known"), F.max(F.when(word, m)).alias("longer"), F.max_by(F.when(~word & (n >= ENOUGH), share), F.when(~word & (n >= ENOUGH), F.col("kind"))).alias("seen"))
-    chance = F.when(F.col("rule") == APART, 1.0).otherwise(F.coalesce("seen", F.lit(0.5)))
-    unknown = (F.col("known") < 2) & (F.col("longer") >= 2)  # an unknown proper prefix of known words
-    rare = (F.col("known") < 0.02 * F.col("longer")) & (chance < 0.5)
-    cut = F.when(F.col("rule") == CUT, True).when(F.col("rule") == PERIOD, F.col("seen") == 0)  # the period of an abbreviation: often seen, hardly ever at an end
-    return of.where(F.coalesce(cut.otherwise(F.coalesce(unknown | rare, F.lit(False)) | (chance < F.col("least"))), F.lit(False))).select("id").distinct()
+    """(id) of the texts that the counts of their nodes show to be cut off.  Each text, and every copy of it, is taken out
+    of the counts first."""
+    of = asked.groupBy("id", "rule", "least", "kind", "key").agg(F.count("*").alias("own")).join(counts, ["kind", "key"], "left")
+    less = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)) - F.col("own"), F.lit(0))
+    node = F.struct(less("whole").alias("whole"), F.coalesce("longer", F.lit(0)).alias("longer"), less("ended").alias("ended"), less("dotted").alias("dotted"), less("closed").alias("closed"))
+    of = of.groupBy("id", "rule", "least").agg(*[F.max(F.when(F.col("kind") == k, node)).alias(f"k{k}") for k in range(LEVELS + 1)])
+    got = lambda k, c: F.coalesce(F.col(f"k{k}")[c], F.lit(0))
+    chance = F.lit(PRIOR)
+    for k in range(LEVELS):  # a longer stretch counts as far as it was seen
+        chance = (got(k, "ended") + WEIGHT * chance) / (got(k, "whole") + got(k, "longer") + WEIGHT)
+    lone = (got(FORM, "whole") >= 3) & (got(FORM, "ended") * 2 >= got(FORM, "whole"))  # such a line of its own ends without a mark
+    unknown = (got(0, "whole") < 2) & (got(0, "longer") >= 2)  # an unknown proper prefix of known words
+    after = (got(1, "whole") * 50 < got(1, "longer")) & (got(1, "longer") >= 5)  # the same after the word before it
+    dot = lambda k: (got(k, "dotted") >= 20) & (got(k, "closed") * 50 < got(k, "dotted"))
+    period = F.when(got(1, "dotted") >= 20, dot(1)).otherwise(dot(0))
+    cut = (F.when(F.col("rule") == CUT, True).when(F.col("rule") == PERIOD, period)
+           .otherwise(unknown | after | ((F.col("rule") == OPEN) & ~lone & (chance < F.col("least")))))
+    return of.where(cut).select("id").distinct()
 
 
 def cut_off(documents: DataFrame) -> DataFrame:
