@@ -257,6 +257,15 @@ def _end_of(text: str, words: int = 8) -> str:
     return text[at:] if at else text
 
 
+def _last_tokens(tail: str, size: int = 200) -> str:
+    """As much of a text's end as its last token's keys and form depend on: nine tokens or more, lines whole where there
+    are several."""
+    end = tail[-size:]
+    if len(end) == len(tail) or len(re.findall(r"\w+", end)) < 9:
+        return tail
+    return tail[tail.rfind("\n", 0, len(tail) - size) + 1:] if "\n" in end else end
+
+
 CUT, PERIOD, OPEN, ROW = 0, 1, 2, 3  # what a text's end calls for: nothing more, its period's counts, its last words', its last word's alone
 CLOSING = re.compile(r"[|}\])]$")
 
@@ -265,22 +274,25 @@ def questions(texts: list[str], sources: list[str | None], piled: set) -> Iterat
     """(text, rule, least, kind, key): what must be known of each text that may be cut off; a text is cut where the
     chance of an end is below ``least``.  Texts that are plainly whole have no rows."""
     tails, omitted = [], []
+    in_bytes = {source for source, unit, _ in piled if unit == "bytes"}
     for t in texts:
-        t = mojibake.easily_undone(t).rstrip()
+        t = mojibake.easily_undone(_end_of(t.rstrip())).rstrip()
         cut = OMITTED.sub("", t)
         lost = cut.rstrip("\ufffd")  # a character cut in half, or a sign that was lost
         omitted.append(2 if SAID.search(t) else 1 if len(lost) < len(t) else 0)
         tails.append(lost or t)
-    a = analyse([_end_of(t) for t in tails])
+    a = analyse([_last_tokens(t) for t in tails])
     keys = [c.view(np.int64) for c in a["keys"]]
     form = a["form"].view(np.int64)
     at_last = np.flatnonzero(a["last"])
     for k, j in zip(a["owner"][at_last].tolist(), at_last.tolist()):
         t, tail = texts[k], tails[k]
         after = tail[len(tail) - (int(a["offset"][k + 1]) - 1 - int(a["end"][j])):] if a["offset"][k + 1] - 1 > a["end"][j] else ""  # what follows the last token
-        size = len(t.encode("utf-8", "replace"))
-        widest = max(len(c.encode("utf-8", "replace")) for c in t[-40:])  # a limit in bytes drops a character that would be cut
-        pile = ((sources[k] or ""), "chars", len(t)) in piled or any(((sources[k] or ""), "bytes", size + d) in piled for d in range(widest))
+        source = sources[k] or ""
+        pile = (source, "chars", len(t)) in piled
+        if not pile and source in in_bytes:  # a limit in bytes drops a character that it would cut
+            size, widest = len(t.encode("utf-8", "replace")), max(len(c.encode("utf-8", "replace")) for c in t[-40:])
+            pile = any((source, "bytes", size + d) in piled for d in range(widest))
         if omitted[k] == 2:
             yield k, CUT, 0.0, FORM, 0
         elif ENDMARK.search(tail) is not None and not omitted[k]:
