@@ -127,7 +127,7 @@ class Net:
 
 def training_sample(documents: DataFrame) -> pd.DataFrame:
     """At most about ``PER_LANGUAGE`` documents of each language that labels name often enough, chosen by a hash of
-    doc_id.  Spellings of labels rarer than a tenth of ``LEAST_DOCUMENTS`` are passed over, so that at most some ten
+    doc_id.  A spelling of a label rarer than a tenth of ``LEAST_DOCUMENTS`` is passed over, so that at most some ten
     thousand spellings are looked at."""
     long_enough = documents.where(f"text IS NOT NULL AND lang IS NOT NULL AND length(text) BETWEEN 60 AND {LONGEST}")
     counted = long_enough.groupBy("lang").count()
@@ -146,60 +146,6 @@ def training_sample(documents: DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"text": some["text"], "code": some["lang"].map(code_of)})
 
 
-def train(self, x: np.ndarray, y: np.ndarray, steps: int, seed: int = 5) -> None:
-        """Adam on cross-entropy; the gradient of a max-pooled filter reaches only the bytes at its best place."""
-        rng = np.random.default_rng(seed)
-        by = [np.flatnonzero(y == k) for k in range(len(self.names))]
-        by = [b for b in by if len(b)]
-        params = [*self.conv, *self.bias, self.dense, self.shift]
-        m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        for step in range(1, steps + 1):
-            at = np.array([rng.choice(by[k]) for k in rng.integers(len(by), size=BATCH)])
-            xb, yb = x[at], y[at]
-            h, where = self.pooled(xb)
-            z = h @ self.dense + self.shift
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(BATCH), yb] -= 1
-            p /= BATCH
-            gh = (p @ self.dense.T) * (h > 0)
-            grads_c, grads_b = [], []
-            for i, w in enumerate(WIDTHS):
-                g = gh[:, i * FILTERS:(i + 1) * FILTERS]
-                gc = np.zeros((w, 256 * FILTERS), np.float32)
-                for k in range(w):
-                    code = xb[np.arange(BATCH)[:, None], where[i] + k].astype(np.int64) * FILTERS + np.arange(FILTERS)
-                    gc[k] = np.bincount(code.ravel(), weights=g.ravel(), minlength=256 * FILTERS)
-                grads_c.append(gc.reshape(w, 256, FILTERS))
-                grads_b.append(g.sum(0))
-            grads = [*grads_c, *grads_b, h.T @ p + 1e-4 * self.dense, p.sum(0)]
-            rate = RATE * min(1, 3 * (1 - step / (steps + 1)))
-            for q, g, a, b in zip(params, grads, m, v):
-                a += 0.1 * (g - a)
-                b += 0.01 * (g * g - b)
-                q -= (rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
-
-
-def _codes(labels: pd.Series) -> pd.Series:
-    return labels.map(code_of)
-
-
-def training_sample(documents: DataFrame) -> pd.DataFrame:
-    """At most about ``PER_LANGUAGE`` documents of each language that labels name often enough, chosen by a hash of doc_id."""
-    code = F.pandas_udf(_codes, "string")
-    labelled = documents.where(f"text IS NOT NULL AND lang IS NOT NULL AND length(text) BETWEEN 60 AND {LONGEST}").select("doc_id", "text", code("lang").alias("code")).where("code IS NOT NULL")
-    sizes = {r["code"]: r["count"] for r in labelled.groupBy("code").count().collect()}  # at most one row for each known code
-    total = sum(sizes.values())
-    kept = {c: n for c, n in sizes.items() if n >= max(4, LEAST_DOCUMENTS * total)}
-    if not kept:
-        return pd.DataFrame({"text": [], "code": []})
-    share = F.lit(None).cast("double")
-    for c, n in kept.items():
-        share = F.when(F.col("code") == c, F.lit(min(1.0, PER_LANGUAGE / n))).otherwise(share)
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    return labelled.where(at < share).select("text", "code").toPandas()
-
-
 def train(sample: pd.DataFrame, steps: int = STEPS) -> Net | None:
     """A network for the languages of the sample, trained twice: rows that the first network sees clearly as another
     language have wrong labels and are left out of the second."""

@@ -97,11 +97,13 @@ def test_units(corpus, spark):
     assert [text[r.char_start:r.char_end] for r in rows] == want and {r.doc_id for r in rows} == {0}
 
 
+def counts_of(texts, lang):
+    rows = pd.concat(sentences._count([pd.DataFrame({"text": texts, "lang": lang})])).groupby(["grp", "key"], as_index=False)["n"].sum()
+    return sentences.totals_and(rows.assign(total=rows.groupby("grp")["n"].transform("sum")))
+
+
 def test_unit_rules():
-    c = np.zeros(sentences.BUCKETS, np.float32)
-    for b in sentences._count([pd.DataFrame({"text": [prose(k, EN) for k in range(200)], "lang": "en"})]):
-        c[b.bucket] = b.n
-    judge = sentences.Judge(c)
+    judge = sentences.Judge(counts_of([prose(k, EN) for k in range(200)], "en"))
 
     def cut(t):
         return [t[s:e] for s, e in sentences.split_text(t, judge)]
@@ -160,10 +162,7 @@ def test_units_follow_a_change_of_language():
     """Gal. ends English sentences and is a Spanish title; the language is that of the place, not of the text's start."""
     en = [prose(k, EN) + " We filled one gal." for k in range(200)]
     es = [f"El Gal. Pellicant durmió. {prose(k, ES)}" for k in range(200)]
-    c = np.zeros(sentences.BUCKETS, np.float32)
-    for b in sentences._count([pd.DataFrame({"text": en + es, "lang": ["en"] * 200 + ["es"] * 200})]):
-        c[b.bucket] = b.n
-    judge = sentences.Judge(c)
+    judge = sentences.Judge(counts_of(en + es, ["en"] * 200 + ["es"] * 200))
     english, spanish = " ".join(en[:30]), "El Gal. Pellicant revisó la válvula durante la noche. Nadie cerró el almacén. " + prose(3, ES)
 
     def ends(t):
@@ -177,10 +176,34 @@ def test_units_follow_a_change_of_language():
 
 def test_a_wide_run_is_restored_beside_a_short_one():
     clean = ["Ann Müntzig slept.", "鍵は霧谷倉庫へ運ばれました。江里須港の引き継ぎは誰も答えなかった。"] * 40
-    n = np.zeros(mojibake.BUCKETS)
-    for b in mojibake._train([pd.DataFrame({"text": clean, "metadata_json": None})]):
-        n[b.bucket] += b.n
-    r = mojibake.Restorer(np.log((n + 0.02) / (n.sum() + 0.02 * mojibake.BUCKETS)).astype(np.float32), 1.8)
+    b = pd.concat(mojibake._train([pd.DataFrame({"text": clean, "metadata_json": None})]))
+    r = mojibake.Restorer(mojibake.Model(b["trigram"].to_numpy(), b["n"].to_numpy()), 1.8)
     wide = "江里須港の引き継ぎは誰も答えなかった。"
     text = "Ann MÃ¼ntzig slept.\n" + "".join(bytes([x]).decode("cp1252", "ignore") or chr(x) for x in wide.encode("shift_jis"))
     assert r.restored(text, r.suspicious([text])[0])[0] == "Ann Müntzig slept.\n" + wide
+
+
+def test_trigrams_that_share_a_slot_keep_their_own_counts():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(1 << 40, 1 << 62, 5_000))
+    n = rng.integers(1, 1000, len(keys))
+    m = mojibake.Model(keys, n)
+    assert len(m.more) > 0  # some slots are taken twice
+    assert np.allclose(m(keys), np.log((n + mojibake.EACH) / (n.sum() + mojibake.UNSEEN)), atol=1e-4)
+    assert (m(keys + 1)[~np.isin(keys + 1, keys)] == np.float32(m.unseen)).all()
+
+
+def test_metadata_is_restored_as_json(corpus):
+    import json
+
+    got = {(r.doc_id, r.field): r for r in mojibake.garbled_fields(corpus, restore=True).collect()}
+    assert json.loads(got[2001, "metadata_json"].restored) == {"title": "State of the gate – Ann Müntzig"}
+
+
+def test_easily_undone():
+    for text in ("Müntzig – é", "Найдено", "検査", "“Leave it!” – no", "plain"):
+        for read in ("cp1252", "latin-1", "mac_roman"):
+            bad = "".join(bytes([b]).decode(read, "ignore") or chr(b) for b in text.encode())
+            assert mojibake.easily_undone(bad) == text
+        assert mojibake.easily_undone(text) == text
+    assert mojibake.easily_undone("scell+AOk. 1+1-2") == "scell+AOk. 1+1-2" and mojibake.easily_undone("AOk +AOk-crit") == "AOk écrit"
