@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.runtime import table
+from loomtext.runtime import durable, table
 
 CHARS_PER_TOKEN = 4  # fixed by the problem: a token is four code points, rounded up
 LEVELS = [
@@ -107,7 +107,10 @@ def split_oversized(chunks: DataFrame, documents: DataFrame, limits: DataFrame)
 def locate(pieces_of: DataFrame, documents: DataFrame) -> DataFrame:
     """``char_start`` filled where it was unknown and the chunk's text stands in its document exactly once."""
     lost = pieces_of.where("char_start IS NULL")
-    texts = documents.select("document_id", F.col("text").alias("__text"))
+    # only the documents of such chunks send their texts through the shuffle; the keys are written first, so that Spark
+    # sees how few they are
+    keys = durable(lost.select("document_id").distinct())
+    texts = documents.select("document_id", F.col("text").alias("__text")).join(keys, "document_id", "left_semi")
     at = F.instr("__text", F.col("text"))
     again = F.instr(F.expr("substring(__text, instr(__text, text) + 1)"), F.col("text"))
     found = lost.join(texts, "document_id", "left").withColumn("char_start", F.when((at > 0) & (again == 0), (at - 1).cast("int"))).drop("__text")

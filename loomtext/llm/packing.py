@@ -20,27 +20,65 @@ GROUP = 4_000  # items of a group, on average
 MOST_POOLS = 1_000
 
 
+def _dominating(values: list[int], size: int, room: int) -> list[int] | None:
+    """Of the items ``values`` (ascending) those that a set with an item of ``size`` takes which dominates every other set
+    with it; None if no such set is known.
+
+    Alone where nothing fits; with an item that fills the container, or with the largest that fits where no two fit or no
+    two that fit weigh more; where no three fit, with the largest that leaves room for another and the largest beside it,
+    if no other pair has a larger lesser item."""
+    at = bisect_right(values, room) - 1
+    if at < 0:
+        return []
+    if values[at] == room or at == 0 or values[0] + values[1] > room:
+        return [at]
+    if at >= 2 and values[0] + values[1] + values[2] <= room:
+        return None
+    best = 0  # the heaviest pair that fits
+    for x in range(at, 0, -1):
+        if 2 * values[x] <= best:
+            break
+        y = min(bisect_right(values, room - values[x]) - 1, x - 1)
+        if y >= 0:
+            best = max(best, values[x] + values[y])
+    if values[at] >= best:
+        return [at]
+    y = min(bisect_right(values, room - values[at]) - 1, at - 1)
+    if y >= 0:
+        low, high = 0, at  # the last place whose item fits with the next one
+        while low < high - 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if values[mid] + values[mid + 1] <= room else (low, mid)
+        if values[low] <= values[y]:
+            return [y, at]
+    return None
+
+
 def reduce_by_dominance(sizes: list[int], capacity: int) -> tuple[list[list[int]], list[int]]:
     """(containers fixed, items left), as positions in ``sizes``, all within ``capacity``.
 
-    For the largest item: alone if nothing else fits, with an item that fills the container exactly, or with the largest
-    that fits where no two others fit together; each of these sets dominates every other that holds the item."""
+    Items are tried from the largest down; what is fixed shrinks the instance, so the passes are repeated until one fixes
+    nothing."""
     order = sorted(range(len(sizes)), key=lambda k: sizes[k])
-    values = [sizes[k] for k in order]  # ascending; items are taken out from either place
-    fixed, left = [], []
-    while order:
-        item, size = order.pop(), values.pop()
-        room = capacity - size
-        at = bisect_right(values, room) - 1
-        larger = bool(left) and sizes[left[-1]] <= room  # a larger item that was passed over fits as well
-        if at < 0 and not larger:
-            fixed.append([item])
-        elif at >= 0 and (values[at] == room or (not larger and (at == 0 or values[0] + values[1] > room))):
-            fixed.append([item, order.pop(at)])
-            values.pop(at)
-        else:
-            left.append(item)
-    return fixed, left
+    values = [sizes[k] for k in order]  # ascending
+    fixed, again = [], True
+    while again:
+        again, k = False, len(order) - 1
+        while k >= 0:
+            item, size = order.pop(k), values.pop(k)
+            others = _dominating(values, size, capacity - size)
+            if others is None:
+                order.insert(k, item)
+                values.insert(k, size)
+            else:
+                fixed.append([item, *(order[o] for o in others)])
+                for o in sorted(others, reverse=True):
+                    order.pop(o)
+                    values.pop(o)
+                again = True
+                k -= sum(o < k for o in others)
+            k -= 1
+    return fixed, order[::-1]
 
 
 def best_fit(sizes: list[int], items: list[int], capacity: int) -> list[list[int]]:
@@ -65,25 +103,27 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     fixed, left = reduce_by_dominance(sizes, capacity)
     containers = fixed + best_fit(sizes, left, capacity)
     number, fill = [0] * len(sizes), [0] * len(sizes)
+    by_dominance = [False] * len(sizes)
     for c, items in enumerate(containers):
         total = sum(sizes[k] for k in items)
         for k in items:
-            number[k], fill[k] = c, total
+            number[k], fill[k], by_dominance[k] = c, total, c < len(fixed)
     pdf["container"] = pdf["pool"] + "-" + pdf["grp"].astype(str) + "-" + pd.Series(number, dtype="int64").astype(str)
     pdf["fill"] = pd.Series(fill, dtype="int32")
-    return pdf[["pool", "container", "doc_id", "part", "token_start", "tokens", "capacity", "fill"]]
+    pdf["fixed"] = by_dominance
+    return pdf[["pool", "container", "doc_id", "part", "token_start", "tokens", "capacity", "fill", "fixed"]]
 
 
 def pack(documents: DataFrame, limits: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """For each pool a packing of all texts: one row per text, or per part of a text larger than a container.
 
     ``token_start`` is where a part starts in its text's tokens.  Null and empty texts have no tokens and no row; equal
-    texts are packed each on its own; pools without a positive capacity take nothing.
+    texts are packed each on its own; ``fixed`` tells the containers that dominance fixed; pools without a positive capacity take nothing.
     """
     pools = limits.where("capacity_tokens > 0 AND pool IS NOT NULL").limit(MOST_POOLS + 1).collect()
     if len(pools) > MOST_POOLS:
         raise ValueError(f"more than {MOST_POOLS} pools")
-    schema = "pool string, container string, doc_id bigint, part int, token_start int, tokens int, capacity int, fill int"
+    schema = "pool string, container string, doc_id bigint, part int, token_start int, tokens int, capacity int, fill int, fixed boolean"
     if not pools:
         return documents.sparkSession.createDataFrame([], schema)
     sized = durable(documents.where("text IS NOT NULL AND text <> ''").select("doc_id", token_count(F.col("text"), tokenizer).alias("n")))
@@ -101,8 +141,8 @@ def pack(documents: DataFrame, limits: DataFrame, tokenizer: str = TOKENIZER) ->
 
 def fill_of(packed: DataFrame) -> DataFrame:
     """For each pool its containers, their mean fill, and the room left over."""
-    one = packed.groupBy("pool", "container").agg(F.sum("tokens").alias("tokens"), F.first("capacity").alias("capacity"))
-    return one.groupBy("pool").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.sum(F.col("capacity") - F.col("tokens")).alias("unused"), F.avg(F.col("tokens") / F.col("capacity")).alias("mean_fill"))
+    one = packed.groupBy("pool", "container").agg(F.sum("tokens").alias("tokens"), F.first("capacity").alias("capacity"), F.max("fixed").alias("fixed"))
+    return one.groupBy("pool").agg(F.count("*").alias("containers"), F.count_if("fixed").alias("fixed_by_dominance"), F.sum("tokens").alias("tokens"), F.sum(F.col("capacity") - F.col("tokens")).alias("unused"), F.avg(F.col("tokens") / F.col("capacity")).alias("mean_fill"))
 
 
 def _inputs(spark, d):
