@@ -13,9 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); a temporary one only where none is set, as in tests."""
+    """The shared folder of the cluster (``spark.checkpoint.dir``); a temporary one only where none is set and Spark runs
+    on this machine alone, as in tests."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    if not given and not sc.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()

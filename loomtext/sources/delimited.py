@@ -85,7 +85,8 @@ def _edits(structures: pd.Series, width: pd.Series) -> pd.DataFrame:
 
 
 def _edits_udf():
-    return F.pandas_udf(_edits, EDITS)
+    # marked so that no filter is pushed below it and evaluates it a second time
+    return F.pandas_udf(_edits, EDITS).asNondeterministic()
 
 
 def blank_trim(column: Column) -> Column:
@@ -110,9 +111,15 @@ def parse_lines(lines: DataFrame, line: str, delimiter: str, width: int, valid:
     e = F.col("edits")
     quoting, columns = e.quotes_inserted + e.quotes_deleted > 0, e.delimiters_inserted + e.delimiters_deleted > 0
     out = out.withColumn(fields, F.when(~quoting & ~columns, clean))
-    wrong = F.lit(False)
-    for k, check in enumerate(valid):
-        wrong = wrong | ~F.coalesce(check(F.get(F.col(fields), F.lit(k))), F.lit(False))
+
+    def bad(values: Column) -> Column:
+        wrong = F.lit(False)
+        for k, check in enumerate(valid):
+            wrong = wrong | ~F.coalesce(check(F.get(values, F.lit(k))), F.lit(False))
+        return wrong
+
+    # bound as the variable of a lambda, so that all checks share one evaluation of the fields
+    wrong = F.get(F.transform(F.array(F.col(fields)), bad), F.lit(0))
     return out.withColumn("reason", F.when(quoting, "quoting").when(columns, "columns").when(wrong, "value")).drop(marked, structure)
 
 
