@@ -11,6 +11,7 @@ TOKEN_EDGE = ".,;:!?()[]{}\"'`"
 # Words that never count as content.
 STOP_WORDS = "a an and are as by can could did does for from had has have how in is it of on or should that the to was were what when where which who with would".split()
 BLOB = r"(?:^|[^A-Za-z0-9_])(?:[0-9a-fA-F]{24,}|[A-Za-z0-9+/]{32,}=*)(?:[^A-Za-z0-9_]|$)"
+SAYS_NOTHING = "no actionable fact is asserted"  # Fixed value
 SEP = "\u001f"
 
 
@@ -71,6 +72,7 @@ def quality_counts(text: Column, found: Column) -> dict[str, Column]:
         "non_ascii": _without(t, r"[^\x00-\x7f]+"),
         "mixed_tokens": F.size(F.filter(found, lambda k: k.rlike("[0-9]") & k.rlike("[a-z]"))),
         "has_blob": t.rlike(BLOB),
+        "says_nothing": normalize(t).contains(SAYS_NOTHING),
     }
 
 
@@ -79,10 +81,10 @@ def _share(a: str, b: str) -> Column:
 
 
 def quality_class() -> Column:
-    """First class that applies, over the columns of ``quality_counts``."""
+    """First class that applies, over the columns of ``quality_counts``; the thresholds are fixed values."""
     symbol, printable, long_, mixed, wide, unique = _share("symbols", "char_count"), _share("printable", "char_count"), _share("long_tokens", "token_count"), _share("mixed_tokens", "token_count"), _share("non_ascii", "char_count"), _share("unique_tokens", "token_count")
     return (F.when(F.col("char_count") == 0, "empty").when((symbol > 0.35) | (printable < 0.75), "random_character_noise").when((long_ > 0.25) | F.col("has_blob"), "base64_or_hex_blob")
-            .when(mixed > 0.20, "ocr_corruption").when((wide > 0.05) & (unique > 0.80), "multilingual_word_salad").when((F.col("token_count") >= 12) & (unique > 0.90), "word_salad").otherwise("meaningful_discourse"))
+            .when(mixed > 0.20, "ocr_corruption").when((wide > 0.05) & (unique > 0.80), "multilingual_word_salad").when((F.col("token_count") >= 12) & (unique > 0.90), "word_salad").when(F.col("says_nothing"), "plausible_babble").otherwise("meaningful_discourse"))
 
 
 def low_semantic_noise() -> Column:

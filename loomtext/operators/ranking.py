@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.functions.text import low_semantic_noise, normalize, quality_counts, tokens
+from loomtext.functions import extract
+from loomtext.functions.terms import content_words
+from loomtext.functions.text import clean_value, content, low_semantic_noise, normalize, quality_counts, tokens
 
 
 def hits(material: Column, terms: list[str]) -> Column:
@@ -24,14 +28,19 @@ def rank_documents(documents: DataFrame, target: list[str], relation: list[str],
     return d.select("doc_id", "rel_path", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "rel_path", "doc_id").limit(limit)
 
 
-def lexical_search(units: DataFrame, key: str, query: dict[str, int], required: list[str], limit: int = 20) -> DataFrame:
-    """Best units: a query token counts as often as it stands in the unit, at most as often as in the query, and each
-    required phrase adds 4.  Counts are made before any shuffle, and only the best rows are sorted."""
-    u = units.withColumn("__k", tokens(F.col("text"))).withColumn("__m", normalize(F.col("text")))
+def lexical_search(units: DataFrame, key: str, query: str, required: list[str], limit: int = 20, order: tuple = ()) -> DataFrame:
+    """Best units for the content tokens of ``query``: each counts as often as it stands in the unit, at most as often as
+    in the query.  A unit that lacks a required phrase is out; each adds 4.  Counts are made before any shuffle, and only
+    the best rows are sorted, equal ones by ``order``."""
+    wanted = Counter(content_words(query))
+    u = units.withColumn("__k", content(tokens(F.col("text")))).withColumn("__m", normalize(F.col("text")))
     times = lambda word: F.size(F.filter("__k", lambda t: t == word))
-    shared = sum((F.least(times(word), F.lit(n)) for word, n in query.items()), F.lit(0))
-    extra = sum((F.when(F.col("__m").contains(p), 4).otherwise(0) for p in required), F.lit(0))
-    return u.select(key, (shared + extra).cast("double").alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(limit)
+    shared = sum((F.least(times(word), F.lit(n)) for word, n in wanted.items()), F.lit(0))
+    has_all = F.lit(True)
+    for phrase in required:
+        has_all = has_all & F.col("__m").contains(" ".join(phrase.lower().split()))
+    out = u.where(has_all).withColumn("score", (shared + 4 * len(required)).cast("double")).where("score > 0")
+    return out.select(key, *[c for c in order if c != key], "score").orderBy(F.desc("score"), *(order or (key,))).limit(limit)
 
 
 def term_counts(units: DataFrame, key: str) -> DataFrame:
@@ -53,6 +62,6 @@ def section_anchor(rows: DataFrame, heading: Column) -> DataFrame:
 
 
 def is_heading(text: Column) -> Column:
-    """A short line with a capital that holds no label, cell or end mark."""
-    t = F.btrim(text, F.lit(" \t\r"))
-    return (F.length(t) <= 100) & t.rlike("^[A-Z]") & ~t.rlike(r"[:|\t;,.!?=]") & F.size(tokens(t)).between(1, 8)
+    """A short line with a capitalised phrase, one to eight tokens, and no label, cell, address or identifier."""
+    t = clean_value(text)
+    return (t != "") & (F.length(t) <= 100) & ~t.rlike(r"[:|\t]") & (F.size(extract.urls(t)) == 0) & (F.size(extract.identifiers(t)) == 0) & F.size(tokens(t)).between(1, 8) & (F.size(extract.phrases(t)) > 0)

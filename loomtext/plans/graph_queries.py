@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import extract as X
@@ -12,7 +11,8 @@ from loomtext.functions.text import normalize, token_estimate
 from loomtext.operators import binding, graph
 from loomtext.operators.ranking import is_heading, section_anchor
 from loomtext.operators.units import lines
-from loomtext.plans.sqltext import FULL_LINES, every, norm, q, toks
+from loomtext.plans.sqltext import X as SX
+from loomtext.plans.sqltext import FULL_LINES, every, heading, norm, toks
 from loomtext.runtime import checkpoint_dir, table
 from loomtext.streaming.ingest import stream_units, windowed_counts
 
@@ -70,9 +70,9 @@ def _state(latest):
 
 
 def _capped(spark, d):
-    s = table(spark, d, "measurements").select("rel_path", "line_no", "row_id", F.explode(X.timestamps(F.col("c0"))).alias("stamp"))
-    n = F.row_number().over(Window.partitionBy("rel_path").orderBy("line_no", "row_id", "stamp"))
-    return s.withColumn("n", n).where("n <= 8").select("rel_path", "row_id", "stamp")
+    """At most eight times of each line, in their order; a line is the unit that the cap is for."""
+    s = table(spark, d, "measurements").select("rel_path", "row_id", F.posexplode(F.slice(X.timestamps(F.col("c0")), 1, 8)).alias("n", "stamp"))
+    return s.select("rel_path", "row_id", "stamp")
 
 
 def _stream(spark, d):
@@ -101,13 +101,13 @@ QUERIES = {
     "stream_ingest": _stream,
 }
 _MENTIONS = f"""SELECT DISTINCT doc_id, line, surface, entity_type FROM (
-  SELECT doc_id, line, rtrim(unnest({every('text', X.URL)}), '.') AS surface, 'url' AS entity_type FROM ({FULL_LINES})
-  UNION ALL SELECT doc_id, line, unnest({every('text', X.PREFIX_ID)}), 'identifier' FROM ({FULL_LINES})
-  UNION ALL SELECT doc_id, line, unnest({every('text', X.PHRASE)}), 'name' FROM ({FULL_LINES}))"""
-_IDS = f"SELECT DISTINCT doc_id, surface FROM (SELECT doc_id, unnest({every('text', X.PREFIX_ID)}) AS surface FROM documents)"
+  SELECT doc_id, line, rtrim(unnest({every('text', SX.URL)}), '.') AS surface, 'url' AS entity_type FROM ({FULL_LINES})
+  UNION ALL SELECT doc_id, line, unnest({every('text', SX.PREFIX_ID)}), 'identifier' FROM ({FULL_LINES})
+  UNION ALL SELECT doc_id, line, unnest({every('text', SX.PHRASE)}), 'name' FROM ({FULL_LINES}))"""
+_IDS = f"SELECT DISTINCT doc_id, surface FROM (SELECT doc_id, unnest({every('text', SX.PREFIX_ID)}) AS surface FROM documents)"
 _EDGES = """SELECT 'r' || r_regionkey AS node, NULL AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders"""
-_HEADING = f"length(t) <= 100 AND regexp_matches(t, '^[A-Z]') AND NOT regexp_matches(t, '[:|\\t;,.!?=]') AND len({toks('t')}) BETWEEN 1 AND 8"
+_HEADING = heading("text")
 _KEYS = ("file_name", "stem", "suffix", "parent_rel_path", "directory_depth", "encoding", "decode_errors", "mime_type", "title", "author", "line_count", "word_count")
 _STATE = "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts {0}, event_id) AS rn FROM events) WHERE rn = 1"
 SQL = {
@@ -122,6 +122,6 @@ SQL = {
     "section_anchor": f"SELECT doc_id, anchor, count(*) AS n_lines FROM (SELECT doc_id, last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS anchor FROM (SELECT *, CASE WHEN {_HEADING} THEN text END AS h FROM (SELECT *, trim(text, chr(32) || chr(9) || chr(13)) AS t FROM ({FULL_LINES})))) WHERE anchor IS NOT NULL GROUP BY 1, 2",
     "state_latest": _STATE.format("DESC"),
     "state_earliest": _STATE.format("ASC"),
-    "temporal_capped": f"SELECT rel_path, row_id, stamp FROM (SELECT *, row_number() OVER (PARTITION BY rel_path ORDER BY line_no, row_id, stamp) AS n FROM (SELECT rel_path, line_no, row_id, unnest({every('c0', X.TIMESTAMP)}) AS stamp FROM measurements)) WHERE n <= 8",
+    "temporal_capped": f"SELECT rel_path, row_id, stamp FROM (SELECT rel_path, row_id, generate_subscripts(a, 1) AS n, unnest(a) AS stamp FROM (SELECT rel_path, row_id, {every('c0', SX.TIMESTAMP)} AS a FROM measurements)) WHERE n <= 8",
     "event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

@@ -8,6 +8,7 @@ from loomtext.functions import extract as X
 from loomtext.functions import text as T
 from loomtext.operators import relations as R
 from loomtext.operators.units import lines, units
+from loomtext.plans.sqltext import X as SX
 from loomtext.plans.sqltext import CELLS, CLASS, FULL_LINES, LABELS, NOISE, PAIRS, QUALITY, STOP, TYPE, WS, every, norm, q, toks
 from loomtext.runtime import table
 
@@ -95,12 +96,12 @@ SQL = {
     "noise_docs": f"SELECT doc_id FROM ({QUALITY}) WHERE {NOISE}",
     "stable_ids": "SELECT doc_id, 'doc_' || substring(sha256(coalesce(rel_path, 'None') || chr(31) || doc_id || chr(31) || coalesce(run_id, 'None')), 1, 24) AS stable_id FROM documents",
     "normalized_titles": f"SELECT {norm(chr(106) + '')} AS title, count(*) AS n FROM (SELECT json_extract_string(metadata_json, '$.title') AS j FROM documents) GROUP BY 1",
-    "url_extract": f"SELECT doc_id, rtrim(u, '.') AS url, count(*) AS n FROM (SELECT doc_id, unnest({every('text', X.URL)}) AS u FROM documents) GROUP BY 1, 2",
-    "identifier_extract": f"SELECT doc_id, identifier, count(*) AS n FROM (SELECT doc_id, unnest({every('text', X.PREFIX_ID)}) AS identifier FROM documents) GROUP BY 1, 2",
-    "identifier_families": f"SELECT doc_id, len({every('text', X.LOWER_ID)}) AS lower_ids, len({every('text', X.EMAIL)}) AS emails, len({every('text', X.FILE_LIKE)}) AS file_like FROM documents WHERE text IS NOT NULL",
-    "phrase_extract": f"SELECT phrase, count(*) AS n FROM (SELECT unnest({every('text', X.PHRASE)}) AS phrase FROM ({FULL_LINES})) GROUP BY 1 ORDER BY n DESC, phrase LIMIT 100",
-    "phrase_rows": f"SELECT doc_id, phrase, count(*) AS n FROM (SELECT doc_id, unnest({every('text', X.PHRASE)}) AS phrase FROM ({FULL_LINES})) GROUP BY 1, 2",
-    "timestamps_rel": f"SELECT stamp, count(*) AS n FROM (SELECT unnest({every('c0', X.TIMESTAMP)}) AS stamp FROM measurements) GROUP BY 1",
+    "url_extract": f"SELECT doc_id, rtrim(u, '.') AS url, count(*) AS n FROM (SELECT doc_id, unnest({every('text', SX.URL)}) AS u FROM documents) GROUP BY 1, 2",
+    "identifier_extract": f"SELECT doc_id, identifier, count(*) AS n FROM (SELECT doc_id, unnest({every('text', SX.PREFIX_ID)}) AS identifier FROM documents) GROUP BY 1, 2",
+    "identifier_families": f"SELECT doc_id, len({every('text', SX.LOWER_ID)}) AS lower_ids, len({every('text', SX.EMAIL)}) AS emails, len({every('text', SX.FILE_LIKE)}) AS file_like FROM documents WHERE text IS NOT NULL",
+    "phrase_extract": f"SELECT phrase, count(*) AS n FROM (SELECT unnest({every('text', SX.PHRASE)}) AS phrase FROM ({FULL_LINES})) GROUP BY 1 ORDER BY n DESC, phrase LIMIT 100",
+    "phrase_rows": f"SELECT doc_id, phrase, count(*) AS n FROM (SELECT doc_id, unnest({every('text', SX.PHRASE)}) AS phrase FROM ({FULL_LINES})) GROUP BY 1, 2",
+    "timestamps_rel": f"SELECT stamp, count(*) AS n FROM (SELECT unnest({every('c0', SX.TIMESTAMP)}) AS stamp FROM measurements) GROUP BY 1",
     "label_values": f"SELECT doc_id, subject, value, count(*) AS n FROM ({LABELS}) GROUP BY 1, 2, 3",
     "object_pairs": f"SELECT doc_id, subject, value, count(*) AS n FROM ({PAIRS}) GROUP BY 1, 2, 3",
     "json_pairs": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
