@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomtext.functions.text import clean_value, normalize
+from loomtext.functions.text import bound, clean_value, normalize
 
 _W = "[A-Za-z0-9_]"
 EDGE = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
@@ -112,12 +112,15 @@ def carry_header(rows: Column) -> Column:
     return F.aggregate(rows, empty, step, lambda acc: acc["out"])
 
 
-def value_type(value: Column) -> Column:
-    """The surface type of a value: unknown, boolean, url, file_path, count, date_time, identifier or content_phrase."""
-    v, low = clean_value(value), normalize(clean_value(value))
+def _type_of(v: Column, low: Column) -> Column:
     url = F.regexp_extract(v, URL, 1)
     rest = F.btrim(F.replace(low, F.lower(url), F.lit(" ")))
     lone_url = (url != "") & (F.size(all_of(v, URL)) == 1) & rest.rlike(r"^(?:(?:at|in|on|from|to)(?: +|$))*$")
     return (F.when((v == "") | (low == "unknown"), "unknown").when(low.rlike(r"^(yes|no)($|[;,:.!?] )"), "boolean").when(v.rlike(r"^https?://[^\s)\],\"']+$") | lone_url, "url")
             .when(v.rlike(r"^[0-9]+$"), "count").when(v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2})?)?$|^[0-9]{1,2}:[0-9]{2}$|^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}$") | low.rlike(r"^[0-9]+(\.[0-9]+)? ?(second|minute|hour|day|week|month|year)s?$"), "date_time")
             .when(v.rlike(r"^[A-Z][A-Z0-9]{1,9}(-[A-Z0-9]{2,12})*-[0-9]+[A-Z0-9-]*$"), "identifier").when(v.rlike(r"^[A-Za-z0-9_./-]+\.[A-Za-z][A-Za-z0-9]{0,7}$"), "file_path").otherwise("content_phrase"))
+
+
+def value_type(value: Column) -> Column:
+    """The surface type of a value: unknown, boolean, url, file_path, count, date_time, identifier or content_phrase."""
+    return bound(clean_value(value), lambda v: bound(normalize(v), lambda low: _type_of(v, low)))

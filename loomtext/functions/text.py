@@ -15,6 +15,11 @@ SAYS_NOTHING = "no actionable fact is asserted"  # Fixed value
 SEP = "\u001f"
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once: as the variable of a lambda it is not copied to each of its uses."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize(text: Column) -> Column:
     """Small letters, runs of blanks as one, no outer blanks; null gives ''."""
     return F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SPACES, " "))

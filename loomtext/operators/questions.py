@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import extract, terms
-from loomtext.functions.text import clean_value, normalize, tokens
+from loomtext.functions.text import bound, clean_value, normalize, tokens
+from loomtext.runtime import durable
 
 STRUCTURAL = ("url", "identifier", "file_path", "date_time", "count")
 ANY_TYPE = ("content_phrase", "metadata_value", "unknown")
@@ -58,23 +59,25 @@ def match_score(full: Column, local: Column, target: Column, relation: Column) -
 
 def is_target(value: Column, target: Column) -> Column:
     """Whether a value is one of the terms, or has the same parts."""
-    m = normalize(value)
-    return (m != "") & F.exists(target, lambda t: (t == m) | ((F.size(terms.token_set(t)) > 0) & (terms.token_set(t) == terms.token_set(m))))
+    same = lambda m, parts: (m != "") & F.exists(target, lambda t: (t == m) | ((F.size(parts) > 0) & (terms.token_set(t) == parts)))
+    return bound(normalize(value), lambda m: bound(terms.token_set(m), lambda parts: same(m, parts)))
 
 
 def contains_target(value: Column, target: Column) -> Column:
     """Whether a value holds all parts of a term it is not."""
-    m = normalize(value)
-    inside = lambda t: ((F.size(terms.token_set(t)) > 0) & (F.size(F.array_except(terms.token_set(t), terms.token_set(m))) == 0)) | (t.contains(" ") & m.contains(t))
-    return (m != "") & F.exists(target, lambda t: (t != "") & (t != m) & inside(t))
+    inside = lambda t, m, parts: bound(terms.token_set(t), lambda own: (F.size(own) > 0) & (F.size(F.array_except(own, parts)) == 0)) | (t.contains(" ") & m.contains(t))
+    of = lambda m, parts: (m != "") & F.exists(target, lambda t: (t != "") & (t != m) & inside(t, m, parts))
+    return bound(normalize(value), lambda m: bound(terms.token_set(m), lambda parts: of(m, parts)))
 
 
 def compatible(value: Column, answer_type: Column) -> Column:
     """Whether a value's surface fits an answer type."""
-    kind = extract.value_type(value)
-    role = ~kind.isin(*STRUCTURAL) & ~normalize(value).contains("http") & (F.size(extract.identifiers(value)) == 0)
-    return (kind != "unknown") & (F.when(answer_type.isin("unknown", "metadata_value"), True).when(answer_type.isin("person", "actor", "organization"), role).when(answer_type == "content_phrase", ~kind.isin("url", "file_path", "identifier"))
-                                  .when(answer_type == "state", ~kind.isin(*STRUCTURAL)).otherwise(kind == answer_type))
+    def fits(kind: Column) -> Column:
+        role = ~kind.isin(*STRUCTURAL) & ~normalize(value).contains("http") & (F.size(extract.identifiers(value)) == 0)
+        return (kind != "unknown") & (F.when(answer_type.isin("unknown", "metadata_value"), True).when(answer_type.isin("person", "actor", "organization"), role).when(answer_type == "content_phrase", ~kind.isin("url", "file_path", "identifier"))
+                                      .when(answer_type == "state", ~kind.isin(*STRUCTURAL)).otherwise(kind == answer_type))
+
+    return bound(extract.value_type(value), fits)
 
 
 _DATES = r"((?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[ T][0-9]{1,2}:[0-9]{2})?)|[0-9]{1,2}:[0-9]{2})"
@@ -84,31 +87,40 @@ _PATHS = r"([A-Za-z0-9_-]+(?:/[A-Za-z0-9_.-]+)+|[A-Za-z0-9_.-]+\.[A-Za-z0-9]{1,1
 def compatible_values(value: Column, answer_type: Column) -> Column:
     """What of a value answers a question of a type: the addresses, identifiers, paths, times or numbers in it, or the
     cleaned value itself where it fits."""
-    v = clean_value(value)
-    bare = F.regexp_replace(v, extract.URL, " ")
     trimmed = lambda found: F.transform(found, lambda x: F.rtrim(x, F.lit(".,;)")))
-    out = (F.when(answer_type == "url", trimmed(extract.urls(v))).when(answer_type == "identifier", trimmed(extract.identifiers(v))).when(answer_type == "file_path", trimmed(extract.all_of(bare, _PATHS)))
-           .when(answer_type == "date_time", extract.all_of(v, _DATES)).when(answer_type == "count", extract.all_of(v, extract.EDGE + "([0-9]+)" + extract.EDGE)).when(compatible(v, answer_type), F.array(v)))
-    return F.filter(F.array_distinct(F.coalesce(out, F.array().cast("array<string>"))), lambda x: x != "")
+
+    def of(v: Column) -> Column:
+        bare = F.regexp_replace(v, extract.URL, " ")
+        out = (F.when(answer_type == "url", trimmed(extract.urls(v))).when(answer_type == "identifier", trimmed(extract.identifiers(v))).when(answer_type == "file_path", trimmed(extract.all_of(bare, _PATHS)))
+               .when(answer_type == "date_time", extract.all_of(v, _DATES)).when(answer_type == "count", extract.all_of(v, extract.EDGE + "([0-9]+)" + extract.EDGE)).when(compatible(v, answer_type), F.array(v)))
+        return F.filter(F.array_distinct(F.coalesce(out, F.array().cast("array<string>"))), lambda x: x != "")
+
+    return bound(clean_value(value), of)
 
 
 def canonical(value: Column, answer_type: Column) -> Column:
     """The one spelling under which equal answers are counted; '' where a value does not fit."""
-    whole = F.coalesce(terms.literal_list(clean_value(value)), clean_value(value))
-    parts = F.array_join(F.array_distinct(F.filter(F.transform(terms.answer_parts(value), lambda p: F.coalesce(F.get(compatible_values(p, answer_type), F.lit(0)), F.lit(""))), lambda p: p != "")), "; ")
-    people = F.array_join(F.array_distinct(F.filter(terms.answer_parts(value), lambda p: compatible(p, answer_type))), "; ")
-    return (F.when(answer_type == "boolean", F.when(compatible(F.btrim(value), answer_type), F.btrim(value)).otherwise("")).when(answer_type.isin("person", "actor", "organization") & value.contains(";"), people)
-            .when(answer_type.isin("person", "actor", "organization", "state", "content_phrase", "metadata_value"), F.when(compatible(whole, answer_type), whole).otherwise("")).otherwise(parts))
+    parts = lambda found: F.array_join(F.array_distinct(F.filter(F.transform(found, lambda p: F.coalesce(F.get(compatible_values(p, answer_type), F.lit(0)), F.lit(""))), lambda p: p != "")), "; ")
+    people = lambda found: F.array_join(F.array_distinct(F.filter(found, lambda p: compatible(p, answer_type))), "; ")
+    fitting = lambda v: F.when(compatible(v, answer_type), v).otherwise("")
+
+    def of(v: Column) -> Column:
+        whole = bound(F.coalesce(terms.literal_list(v), v), fitting)
+        return (F.when(answer_type == "boolean", fitting(v)).when(answer_type.isin("person", "actor", "organization") & v.contains(";"), people(terms.answer_parts(v)))
+                .when(answer_type.isin("person", "actor", "organization", "state", "content_phrase", "metadata_value"), whole).otherwise(parts(terms.answer_parts(v))))
+
+    return bound(clean_value(value), of)
+
+
+def _free(v: Column, q_type: Column, target: Column, relation: Column) -> Column:
+    """Whether a value is given and not merely what was asked for."""
+    return (v != "") & (q_type.isin(*STRUCTURAL) | (~is_target(v, target) & ~is_target(v, relation) & (q_type.isin(*ANY_TYPE) | ~contains_target(v, target))))
 
 
 def _values(q_type: Column, target: Column, relation: Column) -> Column:
     """The values of a relation row that may answer: its value, else its subject, without what was asked for."""
-    def ok(v: Column) -> Column:
-        free = q_type.isin(*STRUCTURAL)
-        return (v != "") & (free | (~is_target(v, target) & ~is_target(v, relation) & (q_type.isin(*ANY_TYPE) | ~contains_target(v, target))))
-
-    pick = lambda name: F.when(ok(F.col(name)), compatible_values(F.col(name), q_type)).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(pick("value")) > 0, pick("value")).otherwise(pick("subject"))
+    pick = lambda name: F.when(_free(F.col(name), q_type, target, relation), compatible_values(F.col(name), q_type)).otherwise(F.array().cast("array<string>"))
+    return bound(pick("value"), lambda v: F.when(F.size(v) > 0, v).otherwise(pick("subject")))
 
 
 def _row_material() -> Column:
@@ -149,6 +161,28 @@ def bind_relations(rows: DataFrame, units: DataFrame) -> DataFrame:
     return found.select("question_id", F.explode(_values(F.col("answer_type"), F.col("target_terms"), F.col("relation_terms"))).alias("value"), F.round(F.col("__s") * F.col("confidence"), 6).alias("score"), F.lit("relation").alias("binder"), "doc_id", "unit_order", "item")
 
 
+def bind_frames(rows: DataFrame, units: DataFrame) -> DataFrame:
+    """Candidates from the same rows read as frames: target and relation terms anywhere in the frame or its unit's text;
+    each argument that was not asked for may answer."""
+    u = units.select("doc_id", "unit_order", normalize(F.col("text")).alias("__u"))
+    full = F.concat_ws(" ", "__m", "__u")
+    f = rows.where("relation_type <> 'temporal'").join(u, ["doc_id", "unit_order"]).withColumn("__s", match_score(full, full, F.col("target_terms"), F.col("relation_terms"))).where("__s > 0")
+    args = F.filter(F.array("subject", "value"), lambda v: _free(v, F.col("answer_type"), F.col("target_terms"), F.col("relation_terms")))
+    values = F.array_distinct(F.flatten(F.transform(args, lambda v: compatible_values(v, F.col("answer_type")))))
+    return f.select("question_id", F.explode(values).alias("value"), F.round("__s", 6).alias("score"), F.lit("frame").alias("binder"), "doc_id", "unit_order", "item")
+
+
+def bind_contexts(questions: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Candidates from (doc_id, kind, carrier_surface): for questions that ask for a context, the kinds carried by what
+    names their target."""
+    q = questions.where(F.exists("relation_terms", lambda t: t.startswith("context")) & F.col("answer_type").isin("content_phrase", "state", "metadata_value"))
+    keyed = q.select("question_id", "target_terms", F.explode("target_terms").alias("__t")).withColumn("__k", F.get(tokens(F.col("__t")), F.lit(0)))
+    c = contexts.withColumn("__m", normalize(F.concat_ws(" ", "kind", "carrier_surface")))
+    found = c.withColumn("__k", F.explode(F.array_distinct(tokens(F.col("__m"))))).join(keyed, "__k").where(has_term(F.col("__m"), F.col("__t"))).select("question_id", "doc_id", "kind", "__t").distinct()
+    value = F.regexp_replace("kind", "^[^:]*:", "")
+    return found.groupBy("question_id", "doc_id", "kind").agg(F.count("*").alias("__n")).select("question_id", value.alias("value"), (4.0 * F.col("__n") + 1.0).alias("score"), F.lit("context").alias("binder"), "doc_id", F.lit(None).cast("int").alias("unit_order"), F.lit(None).cast("int").alias("item"))
+
+
 def bind_metadata(questions: DataFrame, records: DataFrame) -> DataFrame:
     """Candidates from (doc_id, rel_path, key, value): for questions of type metadata_value or unknown, records whose
     document is named by a target's token in its path."""
@@ -202,6 +236,40 @@ def counted(rows: DataFrame) -> DataFrame:
     return spans.where(ok).groupBy("question_id").agg(F.count("*").alias("n"))
 
 
+def ambiguous(candidates: DataFrame, units: DataFrame) -> DataFrame:
+    """(question_id) of the questions whose candidates stand beside two dates or more and hold two values or more."""
+    date = F.regexp_extract(F.col("text"), extract.EDGE + _DATES + extract.EDGE, 1)
+    c = candidates.join(units.select("doc_id", "unit_order", "text"), ["doc_id", "unit_order"]).select("question_id", date.alias("__d"), normalize(F.col("value")).alias("__v")).where("__d <> '' AND __v <> ''").distinct()
+    sides = c.groupBy("question_id").agg(F.count_distinct("__d").alias("dates"), F.count_distinct("__v").alias("values"))
+    return sides.where("dates >= 2 AND values >= 2").select("question_id")
+
+
+def execute(questions: DataFrame, relations: DataFrame, units: DataFrame, records: DataFrame) -> DataFrame:
+    """(question_id, answer, binder) for questions with ``target_terms``, ``relation_terms``, ``answer_type``,
+    ``temporal_scope`` and ``aggregation``; a question that cannot be answered has no row.
+
+    In this order: questions of yes or no have no answer here; with a temporal scope the values at that time, where there
+    are any; without one, questions whose candidates disagree over time have none; counts count the units that say all
+    that is asked, else the distinct values; lists join all values; of the rest the best value counts."""
+    asked = questions.where("answer_type <> 'boolean'")
+    rows = durable(groups_for(asked, relations))  # every binder starts from these
+    facts = durable(bind_record_groups(rows).unionByName(bind_relations(rows, units)).unionByName(bind_frames(rows, units)))
+    scope = lambda s: rows.join(asked.where(F.col("temporal_scope") == s).select("question_id"), "question_id", "left_semi")
+    times = bind_times(scope("latest")).unionByName(bind_times(scope("earliest"), latest=False))
+    timed = choose(times, asked)
+    rest = facts.join(timed.select("question_id"), "question_id", "left_anti").unionByName(bind_metadata(asked, records))
+    unclear = ambiguous(facts, units).join(asked.where("temporal_scope = ''").select("question_id"), "question_id", "left_semi")
+    clear = asked.join(unclear, "question_id", "left_anti").join(timed.select("question_id"), "question_id", "left_anti")
+    of = lambda how: clear.where(F.col("aggregation") == how).select("question_id", "answer_type")
+    within = lambda df, how: df.join(of(how).select("question_id"), "question_id", "left_semi")
+    spans = within(counted(rows), "count").select("question_id", F.col("n").cast("string").alias("answer"), F.lit("count").alias("binder"))
+    parts = list_values(within(rest, "list"), of("list")).groupBy("question_id").agg(F.array_join(F.array_sort(F.collect_list("part")), "; ").alias("answer"))  # the answer itself
+    values = list_values(within(rest, "count").join(spans.select("question_id"), "question_id", "left_anti"), of("count")).groupBy("question_id").agg(F.count("*").cast("string").alias("answer"))
+    best = choose(within(rest, ""), of(""))
+    pick = lambda df, name=None: df.select("question_id", "answer", F.lit(name).alias("binder") if name else "binder")
+    return pick(timed, "time").unionByName(spans).unionByName(pick(values, "count")).unionByName(pick(parts, "list")).unionByName(pick(best))
+
+
 def accuracy(answers: DataFrame, gold: DataFrame) -> DataFrame:
     """(category, total, answered, correct) of (question_id, category, gold); a question without an answer is wrong."""
     a = gold.join(answers.select("question_id", "answer"), "question_id", "left")

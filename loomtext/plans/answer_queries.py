@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomtext.functions.text import clean_value, normalize
+from loomtext.functions.text import normalize
 from loomtext.operators import binding, ranking
 from loomtext.operators.relations import object_relations
 from loomtext.plans.sqltext import NOISE, PAIRS, QUALITY, SPANS, TYPE, clean, norm, q, toks
 from loomtext.runtime import table
 
 TARGET, RELATION, LEXICAL = ["north pump"], ["sealed", "blocked"], ["rain", "crew", "yard"]
-QUERY, REQUIRED = {"crane": 1, "sealed": 1, "rain": 1, "the": 2}, ["in spite of the rain"]
+QUERY, REQUIRED = "the crane was sealed, the rain", ["in spite of the rain"]
+QUERY_TOKENS = {"crane": 1, "sealed": 1, "rain": 1}  # without stop words
 
 
 def _sentences(spark, d):
@@ -55,15 +56,6 @@ def _prior(spark, d):
     return table(spark, d, "documents").select("doc_id", "rel_path", s.alias("score")).where("score > 0").orderBy(F.desc("score"), "rel_path", "doc_id").limit(8)
 
 
-def _accuracy(spark, d):
-    """Answers chosen for every item against the item's most frequent status (the lesser of equals), by first letter."""
-    chosen = binding.choose(_candidates(spark, d, "status"), "question").select("question", "answer")
-    counts = _candidates(spark, d, "status").withColumn("value", clean_value(F.col("value"))).groupBy("question", "value").agg(F.count("*").alias("n"))
-    gold = counts.groupBy("question").agg(F.min_by("value", F.struct(-F.col("n"), F.length("value"), F.col("value"))).alias("gold"))
-    ok = (normalize(F.col("answer")) == normalize(F.col("gold"))).cast("int")
-    return chosen.join(gold, "question").groupBy(F.substring("question", 1, 5).alias("category")).agg(F.count("*").alias("total"), F.sum(ok).cast("bigint").alias("correct"))
-
-
 QUERIES = {
     "rank_documents": lambda spark, d: ranking.rank_documents(table(spark, d, "documents"), TARGET, RELATION, LEXICAL),
     "lexical_search": lambda spark, d: ranking.lexical_search(_sentences(spark, d), "sentence_id", QUERY, REQUIRED),
@@ -76,7 +68,6 @@ QUERIES = {
     "list_answer": lambda spark, d: binding.list_values(_candidates(spark, d, "owner"), "question"),
     "count_groups": lambda spark, d: binding.count_groups(object_relations(table(spark, d, "documents")), [("item", "the gate"), ("status", "sealed")]),
     "ambiguous_users": lambda spark, d: binding.ambiguous(table(spark, d, "events").select("user_id", F.to_date("ts").alias("day"), F.col("event_type").alias("value")), "user_id", "day"),
-    "qa_accuracy": _accuracy,
 }
 
 
@@ -86,8 +77,8 @@ def _hits(x: str, terms: list[str]) -> str:
 
 _SCORE = f"16 * {_hits('m', TARGET)} + 8 * {_hits('m', RELATION)} + {_hits('m', LEXICAL)}"
 _SENT = "SELECT sentence_id, min(text) AS text FROM sentences GROUP BY sentence_id"
-_SHARED = " + ".join(f"least(len(list_filter(k, lambda t: t = {q(t)})), {n})" for t, n in QUERY.items())
-_EXTRA = " + ".join(f"CASE WHEN contains(m, {q(p)}) THEN 4 ELSE 0 END" for p in REQUIRED)
+_SHARED = " + ".join(f"least(len(list_filter(k, lambda t: t = {q(t)})), {n})" for t, n in QUERY_TOKENS.items())
+_ALL = " AND ".join(f"contains(m, {q(p)})" for p in REQUIRED)
 _CH = "SELECT DISTINCT chunk_id, document_id, chunk_order, text FROM chunks"
 _GROUPED = f"""SELECT p.doc_id, p.line, substring(sha256({norm('s.span')}), 1, 16) AS record_group, subject, value FROM ({PAIRS}) p JOIN ({SPANS}) s ON p.doc_id = s.doc_id AND p.line = s.line AND p.span_no = s.span_no"""
 _REC = f"SELECT doc_id, line, record_group, " + ", ".join(f"min(CASE WHEN {norm('subject')} = '{k}' THEN value END) AS {k}" for k in ("item", "status", "owner")) + f" FROM ({_GROUPED}) GROUP BY 1, 2, 3"
@@ -102,7 +93,7 @@ _CHOSEN = f"SELECT question, canonical AS value, canonical AS answer, score, sup
 _MATCH = f"{norm('predicate || chr(32) || subject || chr(32) || value')}"
 SQL = {
     "rank_documents": f"SELECT d.doc_id, d.rel_path, round(CASE WHEN {NOISE} THEN 0.2 * s ELSE 1.0 * s END, 6) AS score FROM (SELECT doc_id, rel_path, {_SCORE} AS s, {_hits('m', TARGET)} AS t FROM (SELECT doc_id, rel_path, {norm('text')} AS m FROM documents WHERE text <> '')) d JOIN ({QUALITY}) USING (doc_id) WHERE s > 0 AND t > 0 ORDER BY score DESC, rel_path, doc_id LIMIT 40",
-    "lexical_search": f"SELECT sentence_id, CAST({_SHARED} + {_EXTRA} AS DOUBLE) AS score FROM (SELECT sentence_id, {toks('text')} AS k, {norm('text')} AS m FROM ({_SENT})) WHERE {_SHARED} + {_EXTRA} > 0 ORDER BY score DESC, sentence_id LIMIT 20",
+    "lexical_search": f"SELECT sentence_id, CAST({_SHARED} + {4 * len(REQUIRED)} AS DOUBLE) AS score FROM (SELECT sentence_id, {toks('text')} AS k, {norm('text')} AS m FROM ({_SENT})) WHERE {_ALL} ORDER BY score DESC, sentence_id LIMIT 20",
     "token_rows": f"SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({toks('text')}) AS token FROM documents) GROUP BY 1, 2",
     "token_postings": f"SELECT token, count(*) AS documents, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({toks('text')}) AS token FROM documents) GROUP BY 1, 2) GROUP BY token ORDER BY documents DESC, token LIMIT 100",
     "neighbour_window": f"SELECT c.document_id, CAST(c.chunk_order AS BIGINT) AS chunk_order, c.chunk_id, CAST(min(abs(c.chunk_order - h.chunk_order)) AS BIGINT) AS distance FROM ({_CH}) c JOIN ({_CH}) h ON c.document_id = h.document_id AND abs(c.chunk_order - h.chunk_order) <= 4 AND contains(lower(h.text), 'parcel cage') GROUP BY 1, 2, 3",
@@ -112,5 +103,4 @@ SQL = {
     "list_answer": f"SELECT question, string_agg(canonical, '; ' ORDER BY canonical) AS answer, count(*) AS n FROM (SELECT DISTINCT question, canonical FROM ({_cand('owner')})) GROUP BY question",
     "count_groups": f"SELECT count(*) AS n FROM (SELECT doc_id, line, record_group FROM ({_GROUPED}) GROUP BY 1, 2, 3 HAVING bool_or({norm('subject')} = 'item' AND {norm('value')} = 'the gate') AND bool_or({norm('subject')} = 'status' AND {norm('value')} = 'sealed'))",
     "ambiguous_users": "SELECT user_id, count(DISTINCT CAST(ts AS DATE)) AS dates, count(DISTINCT event_type) AS \"values\" FROM events GROUP BY user_id HAVING dates >= 2 AND count(DISTINCT event_type) >= 2",
-    "qa_accuracy": f"SELECT substring(question, 1, 5) AS category, count(*) AS total, count(*) AS correct FROM ({_CHOSEN}) GROUP BY 1",
 }
