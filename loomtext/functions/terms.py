@@ -87,7 +87,8 @@ def confidence_of(said: Column, default: float = 0.65) -> Column:
     out = F.lit(None).cast("double")
     for word, value in CONFIDENCES.items():
         out = F.when(s == word, F.lit(value)).otherwise(out)
-    return F.coalesce(out, F.least(F.lit(1.0), F.greatest(F.lit(0.0), s.try_cast("double"))), F.lit(default))
+    number = s.try_cast("double")  # greatest and least pass over nulls, so these are asked for first
+    return F.coalesce(out, F.when(number.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), number))), F.lit(default))
 
 
 def answer_parts(value: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import extract
 from loomtext.functions.text import normalize, stable_id
 from loomtext.operators.units import lines
+from loomtext.runtime import durable
 
 
 def mentions(documents: DataFrame, cap: int | None = None) -> DataFrame:
@@ -39,15 +40,20 @@ def orphans(child: DataFrame, parent: DataFrame, key: str, to: str) -> DataFrame
     return child.where(F.col(key).isNotNull()).join(keys, child[key] == keys["__k"], "left_anti").agg(F.count("*").alias("orphans"))
 
 
-def chains(edges: DataFrame, depth: int = 4) -> DataFrame:
-    """(node, ancestor, distance) up to ``depth`` parents; a cycle ends where a node would come again."""
+def chains(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(node, ancestor, distance) of all ancestors, of those up to ``depth`` parents away where it is given; a cycle ends
+    where a node would come again.  Each step is written before it is asked whether any node goes further."""
     step = edges.select(F.col("node"), F.col("parent").alias("ancestor"), F.array("node").alias("path")).where("ancestor IS NOT NULL")
-    out, up = None, edges.select(F.col("node").alias("__n"), F.col("parent").alias("__p"))
-    for k in range(1, depth + 1):
+    out, up, k = None, edges.select(F.col("node").alias("__n"), F.col("parent").alias("__p")), 1
+    while True:
         level = step.select("node", "ancestor", F.lit(k).alias("distance"))
         out = level if out is None else out.unionByName(level)
-        step = step.join(up, step["ancestor"] == up["__n"]).select("node", F.col("__p").alias("ancestor"), F.concat("path", F.array("__n")).alias("path")).where("ancestor IS NOT NULL AND NOT array_contains(path, ancestor)")
-    return out
+        if k == depth:
+            return out
+        step = durable(step.join(up, step["ancestor"] == up["__n"]).select("node", F.col("__p").alias("ancestor"), F.concat("path", F.array("__n")).alias("path")).where("ancestor IS NOT NULL AND NOT array_contains(path, ancestor)"))
+        k += 1
+        if step.isEmpty():
+            return out
 
 
 def melt(documents: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ SQL = {
     "referents_dedupe": f"SELECT *, 'ref_' || substring(sha256(label_norm || chr(31) || entity_type), 1, 24) AS referent_id FROM (SELECT {norm('surface')} AS label_norm, entity_type, min(doc_id) AS first_doc, count(*) AS mentions, count(DISTINCT doc_id) AS documents FROM ({_MENTIONS}) GROUP BY 1, 2)",
     "source_contexts": "SELECT source, min(doc_id) AS holder, count(*) AS carriers, 'ctx_' || substring(sha256(coalesce(source, 'None')), 1, 24) AS context_id FROM documents GROUP BY source",
     "identity_same_surface": f"SELECT i.doc_id, count(*) AS links, min(c.representative) AS representative FROM ({_IDS}) i JOIN (SELECT surface, min(doc_id) AS representative FROM ({_IDS}) GROUP BY surface HAVING count(*) > 1) c ON i.surface = c.surface GROUP BY i.doc_id",
-    "context_chain": f"WITH RECURSIVE e AS ({_EDGES}), c AS (SELECT node, parent AS ancestor, 1 AS distance FROM e WHERE parent IS NOT NULL UNION ALL SELECT c.node, e.parent, distance + 1 FROM c JOIN e ON c.ancestor = e.node WHERE e.parent IS NOT NULL AND distance < 4) SELECT * FROM c",
+    "context_chain": f"WITH RECURSIVE e AS ({_EDGES}), c AS (SELECT node, parent AS ancestor, 1 AS distance FROM e WHERE parent IS NOT NULL UNION ALL SELECT c.node, e.parent, distance + 1 FROM c JOIN e ON c.ancestor = e.node WHERE e.parent IS NOT NULL) SELECT * FROM c",
     "doc_metadata_melt": " UNION ALL ".join([f"SELECT doc_id, '{k}' AS key, CAST({k} AS VARCHAR) AS value, 'filesystem' AS source FROM documents WHERE CAST({k} AS VARCHAR) <> ''" for k in ("rel_path", "size_bytes", "source")] + [f"SELECT doc_id, '{k}', json_extract_string(metadata_json, '$.{k}'), 'analysis' FROM documents WHERE json_extract_string(metadata_json, '$.{k}') <> ''" for k in _KEYS]),
     "chunk_token_estimates": f"SELECT document_id, CAST(sum(greatest(1, len({toks('text')}))) AS BIGINT) AS tokens, count(*) AS n_chunks FROM (SELECT DISTINCT * FROM chunks) GROUP BY document_id",
     "section_anchor": f"SELECT doc_id, anchor, count(*) AS n_lines FROM (SELECT doc_id, last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS anchor FROM (SELECT *, CASE WHEN {_HEADING} THEN text END AS h FROM (SELECT *, trim(text, chr(32) || chr(9) || chr(13)) AS t FROM ({FULL_LINES})))) WHERE anchor IS NOT NULL GROUP BY 1, 2",

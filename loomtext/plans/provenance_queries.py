@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtext.functions import terms
-from loomtext.functions.text import clean_value, normalize, tokens
+from loomtext.functions.text import normalize, quality_class, quality_counts, tokens
+from loomtext.operators import contexts as C
 from loomtext.operators import provenance as P
 from loomtext.operators.relations import object_relations
 from loomtext.operators.units import placed_units
@@ -75,7 +76,27 @@ def _pair_values(spark, d):
     return object_relations(table(spark, d, "documents")).select("subject", "value")
 
 
+def _runs(spark, d):
+    """Each run with what it has read; runs that read nothing stay."""
+    own = table(spark, d, "documents").groupBy("run_id").agg(F.count("*").alias("documents"), F.count_distinct("rel_path").alias("paths"), F.sum("n_chars").alias("characters"))
+    runs = table(spark, d, "extraction_runs").select("run_id", "status")
+    return runs.join(own, "run_id", "left").select("run_id", "status", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("paths", F.lit(0)).alias("paths"), "characters")
+
+
+def _context_access(spark, d):
+    """Which documents' contexts may speak where mails are required, by class of quality."""
+    q = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "source", "text", tokens(F.col("text")).alias("__k"))
+    q = q.withColumns(quality_counts(F.col("text"), F.col("__k"))).select("source", quality_class().alias("quality"))
+    link = lambda kind, holder: F.struct(kind.alias("kind"), holder.alias("holder"), F.lit("").alias("evidence"))
+    chain = F.array(link(F.lit("asserted"), F.lit("")), link(F.concat(F.lit("quality:"), "quality"), F.lit("")), link(F.lit("source"), F.coalesce("source", F.lit(""))))
+    none = F.array().cast("array<string>")
+    ok = C.accessible(chain, F.array(F.lit("mail_gateway")), none, F.lit("state"), F.lit(False))
+    return q.groupBy("quality", ok.alias("accessible")).agg(F.count("*").alias("n"))
+
+
 QUERIES = {
+    "run_metrics": _runs,
+    "context_access": _context_access,
     "unit_offsets": _unit_offsets,
     "mention_spans": lambda spark, d: _long(P.mention_rows(units(spark, d)), "doc_id", "unit_order", "surface", "entity_type", "char_start", "char_end"),
     "mention_types": lambda spark, d: P.mention_rows(units(spark, d)).groupBy("entity_type").agg(F.count("*").alias("n"), F.count_distinct("surface").alias("surfaces")),
@@ -105,7 +126,7 @@ QUERIES = {
 }
 
 _SCOPE = "CASE WHEN token IN ('current', 'currently', 'latest', 'most_recent', 'recent', 'final', 'last') THEN 'latest' WHEN token IN ('earliest', 'oldest', 'first', 'initial') THEN 'earliest' END"
-_CONF = f"CASE {norm('value')} WHEN 'very high' THEN 0.95 WHEN 'high' THEN 0.85 WHEN 'medium' THEN 0.65 WHEN 'moderate' THEN 0.65 WHEN 'low' THEN 0.35 WHEN 'very low' THEN 0.15 ELSE coalesce(least(1.0, greatest(0.0, try_cast({norm('value')} AS DOUBLE))), 0.65) END"
+_CONF = f"CASE {norm('value')} WHEN 'very high' THEN 0.95 WHEN 'high' THEN 0.85 WHEN 'medium' THEN 0.65 WHEN 'moderate' THEN 0.65 WHEN 'low' THEN 0.35 WHEN 'very low' THEN 0.15 ELSE CASE WHEN try_cast({norm('value')} AS DOUBLE) IS NULL THEN 0.65 ELSE least(1.0, greatest(0.0, try_cast({norm('value')} AS DOUBLE))) END END"
 _IDENT = f"SELECT DISTINCT m.doc_id, m.unit_order, m.n AS surface_norm, m.ref AS left_id, a.referent_id AS right_id FROM (SELECT doc_id, unit_order, {norm('surface')} AS n, {sid('ref', norm('surface'), 'entity_type')} AS ref FROM ({MENTIONED})) m JOIN (SELECT *, {norm('surface')} AS n FROM ({ARGUMENTS})) a ON m.doc_id = a.doc_id AND m.unit_order = a.unit_order AND m.n = a.n WHERE m.ref <> a.referent_id"
 _LINES = "SELECT row_id AS doc_id, 0 AS unit_order, 0 AS char_start, c0 AS text FROM measurements WHERE c0 <> ''"
 _TIMES = f"""WITH r AS MATERIALIZED (SELECT * FROM ({RELATIONS.replace(UNITS, _LINES)})), s AS (SELECT doc_id, unit_order, count(*) FILTER (relation_type = 'temporal') AS t, count(*) FILTER (relation_type <> 'temporal' AND value <> '') AS o FROM r GROUP BY ALL)
@@ -113,6 +134,8 @@ SELECT r.doc_id, r.unit_order, CASE WHEN r.subject <> '' THEN r.subject ELSE r.p
 FROM r JOIN s ON r.doc_id = s.doc_id AND r.unit_order = s.unit_order AND t BETWEEN 1 AND 8 AND t * o <= 64 JOIN r x ON x.doc_id = r.doc_id AND x.unit_order = r.unit_order AND x.relation_type = 'temporal' WHERE r.relation_type <> 'temporal' AND r.value <> ''"""
 _ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%SZ')"
 SQL = {
+    "run_metrics": "SELECT r.run_id, r.status, count(d.doc_id) AS documents, count(DISTINCT d.rel_path) AS paths, CAST(sum(d.n_chars) AS BIGINT) AS characters FROM extraction_runs r LEFT JOIN documents d ON d.run_id = r.run_id GROUP BY 1, 2",
+    "context_access": f"SELECT {CLASS} AS quality, contains(lower(coalesce(source, '')), 'mail_gateway') AS accessible, count(*) AS n FROM ({QUALITY}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY 1, 2",
     "unit_offsets": f"SELECT doc_id, unit_order, CAST(char_start AS BIGINT) AS char_start, CAST(char_end AS BIGINT) AS char_end, md5(text) AS text_md5, greatest(1, len({toks('text')})) AS token_estimate FROM ({UNITS})",
     "mention_spans": f"SELECT doc_id, unit_order, surface, entity_type, CAST(char_start AS BIGINT) AS char_start, CAST(char_end AS BIGINT) AS char_end FROM ({MENTIONED})",
     "mention_types": f"SELECT entity_type, count(*) AS n, count(DISTINCT surface) AS surfaces FROM ({MENTIONED}) GROUP BY 1",

@@ -94,8 +94,8 @@ def test_chains_end_at_cycles(spark):
 
 def test_search_counts_a_token_at_most_as_often_as_asked(spark):
     df = docs(spark, "Gate gate GATE", "the gate rusted", "no", None)
-    got = {r.doc_id: r.score for r in ranking.lexical_search(df, "doc_id", {"gate": 2, "rusted": 1}, ["gate rusted"]).collect()}
-    assert got == {0: 2.0, 1: 6.0}
+    got = lambda required: {r.doc_id: r.score for r in ranking.lexical_search(df, "doc_id", "gate gate rusted", required).collect()}
+    assert got([]) == {0: 2.0, 1: 2.0} and got(["gate rusted"]) == {1: 6.0}  # without a required phrase a unit is out
     ranked = ranking.rank_documents(df, ["gate"], ["rusted"], [])
     assert [r.doc_id for r in ranked.collect()] == [1, 0]
 
