@@ -128,7 +128,7 @@ QUERIES = {
 _SCOPE = "CASE WHEN token IN ('current', 'currently', 'latest', 'most_recent', 'recent', 'final', 'last') THEN 'latest' WHEN token IN ('earliest', 'oldest', 'first', 'initial') THEN 'earliest' END"
 _CONF = f"CASE {norm('value')} WHEN 'very high' THEN 0.95 WHEN 'high' THEN 0.85 WHEN 'medium' THEN 0.65 WHEN 'moderate' THEN 0.65 WHEN 'low' THEN 0.35 WHEN 'very low' THEN 0.15 ELSE CASE WHEN try_cast({norm('value')} AS DOUBLE) IS NULL THEN 0.65 ELSE least(1.0, greatest(0.0, try_cast({norm('value')} AS DOUBLE))) END END"
 _IDENT = f"SELECT DISTINCT m.doc_id, m.unit_order, m.n AS surface_norm, m.ref AS left_id, a.referent_id AS right_id FROM (SELECT doc_id, unit_order, {norm('surface')} AS n, {sid('ref', norm('surface'), 'entity_type')} AS ref FROM ({MENTIONED})) m JOIN (SELECT *, {norm('surface')} AS n FROM ({ARGUMENTS})) a ON m.doc_id = a.doc_id AND m.unit_order = a.unit_order AND m.n = a.n WHERE m.ref <> a.referent_id"
-_LINES = "SELECT row_id AS doc_id, 0 AS unit_order, 0 AS char_start, c0 AS text FROM measurements WHERE c0 <> ''"
+_LINES = "SELECT row_id AS doc_id, CAST(0 AS BIGINT) AS unit_order, 0 AS char_start, c0 AS text FROM measurements WHERE c0 <> ''"
 _TIMES = f"""WITH r AS MATERIALIZED (SELECT * FROM ({RELATIONS.replace(UNITS, _LINES)})), s AS (SELECT doc_id, unit_order, count(*) FILTER (relation_type = 'temporal') AS t, count(*) FILTER (relation_type <> 'temporal' AND value <> '') AS o FROM r GROUP BY ALL)
 SELECT r.doc_id, r.unit_order, CASE WHEN r.subject <> '' THEN r.subject ELSE r.predicate END AS relation, x.value AS temporal_value, r.value AS state_value, least(0.9, r.confidence) AS confidence
 FROM r JOIN s ON r.doc_id = s.doc_id AND r.unit_order = s.unit_order AND t BETWEEN 1 AND 8 AND t * o <= 64 JOIN r x ON x.doc_id = r.doc_id AND x.unit_order = r.unit_order AND x.relation_type = 'temporal' WHERE r.relation_type <> 'temporal' AND r.value <> ''"""

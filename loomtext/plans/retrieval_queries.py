@@ -34,7 +34,7 @@ def _ranked(df):
 def _required(spark, d):
     """Units that hold every required phrase, as search hits."""
     u = G.units(spark, d).withColumn("key", F.concat_ws("/", "doc_id", "unit_order"))
-    return ranking.lexical_search(u, "key", QUERY, REQUIRED, 20, ("rel_path", "doc_id", "unit_order"))
+    return ranking.lexical_search(u, "key", QUERY, REQUIRED, 20, ("rel_path", "doc_id", "unit_order")).withColumn("unit_order", F.col("unit_order").cast("bigint"))
 
 
 def _lexical(spark, d, limit=1_000):

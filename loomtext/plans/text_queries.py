@@ -87,8 +87,8 @@ QUERIES = {
 }
 _T = "(Dr|Ms|Mr|Mrs|Prof)"
 SQL = {
-    "units_split": f"""WITH u AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(regexp_replace(trim(text, {WS}), '(^|[^A-Za-z0-9_]){_T}\\.', '\\1\\2§', 'g'), '([.!?])[ \\t\\n\\r]+', '\\1' || chr(10), 'g'), '\\n+')) AS p FROM documents WHERE text <> ''),
-      v AS (SELECT doc_id, trim(regexp_replace(p, '{_T}§', '\\1.', 'g'), {WS}) AS t FROM u) SELECT doc_id, count(*) AS n_units, CAST(sum(length(t)) AS BIGINT) AS unit_chars FROM v WHERE t <> '' GROUP BY doc_id""",
+    "units_split": f"""WITH u AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(regexp_replace(trim(text, {WS}), '(^|[^A-Za-z0-9_]){_T}\\.', '\\1\\2' || chr(2), 'g'), '([.!?])[ \\t\\n\\r]+', '\\1' || chr(10), 'g'), '\\n+')) AS p FROM documents WHERE text <> ''),
+      v AS (SELECT doc_id, trim(replace(p, chr(2), '.'), {WS}) AS t FROM u) SELECT doc_id, count(*) AS n_units, CAST(sum(length(t)) AS BIGINT) AS unit_chars FROM v WHERE t <> '' GROUP BY doc_id""",
     "token_counts": f"SELECT doc_id, len(k) AS n_tokens, len(list_distinct(k)) AS n_distinct, len(list_filter(k, lambda t: length(t) > 2 AND t NOT IN {STOP})) AS n_content FROM (SELECT doc_id, {toks('text')} AS k FROM documents WHERE text IS NOT NULL)",
     "content_token_top": f"SELECT token, count(*) AS n FROM (SELECT unnest({toks('text')}) AS token FROM documents) WHERE length(token) > 2 AND token NOT IN {STOP} GROUP BY token ORDER BY n DESC, token LIMIT 50",
     "quality_metrics": QUALITY,
