@@ -32,13 +32,19 @@ def all_of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(1))
 
 
+def only(text: Column, needed: Column) -> Column:
+    """``text`` where it has what a pattern cannot do without, else ''; so most texts are never searched."""
+    return F.when(needed, text).otherwise("")
+
+
 def urls(text: Column) -> Column:
-    return F.transform(all_of(text, URL), lambda u: F.rtrim(u, F.lit(".")))
+    return F.transform(all_of(only(text, text.contains("://")), URL), lambda u: F.rtrim(u, F.lit(".")))
 
 
 def identifiers(text: Column) -> Column:
     """Identifiers family by family: PREFIX-1, lower_under, hexadecimal, e-mail, file-like."""
-    return F.concat(*[all_of(text, p) for p in (PREFIX_ID, LOWER_ID, HEX_ID, EMAIL, FILE_LIKE)])
+    needs = (text.contains("-"), text.contains("_"), text.rlike("[0-9a-fA-F]{8}"), text.contains("@"), text.rlike("[.][A-Za-z0-9]"))
+    return F.concat(*[all_of(only(text, n), p) for n, p in zip(needs, (PREFIX_ID, LOWER_ID, HEX_ID, EMAIL, FILE_LIKE))])
 
 
 def phrases(text: Column) -> Column:
@@ -47,20 +53,20 @@ def phrases(text: Column) -> Column:
 
 
 def timestamps(text: Column) -> Column:
-    return all_of(text, TIMESTAMP)
+    return all_of(only(text, text.contains("-")), TIMESTAMP)
 
 
 def label_pairs(text: Column) -> Column:
     """(label, value) of the pieces between bars, semicolons, commas and line ends, read once more without a leading time
     where none is found; pieces with braces, brackets or an address have none."""
-    pieces = F.filter(F.split(F.coalesce(text, F.lit("")), r"[|;,\n]"), lambda p: ~p.rlike(r"[{}\[\]]|://"))
+    pieces = F.filter(F.split(only(text, text.rlike("[:=]")), r"[|;,\n]"), lambda p: ~p.rlike(r"[{}\[\]]|://"))
     pieces = F.transform(pieces, lambda p: F.when(p.rlike(LABEL), p).otherwise(F.regexp_replace(F.ltrim(p), LEADING_TIME, "")))
     found = F.transform(pieces, lambda p: F.struct(clean_value(F.regexp_extract(p, LABEL, 1)).alias("label"), clean_value(F.regexp_extract(p, LABEL, 2)).alias("value")))
     return F.filter(found, lambda x: (x.label != "") & (x.value != ""))
 
 
 def object_spans(text: Column) -> Column:
-    return F.filter(all_of(text, OBJECT), lambda o: o.contains(":"))
+    return F.filter(all_of(only(text, text.contains("{")), OBJECT), lambda o: o.contains(":"))
 
 
 def object_pairs(span: Column) -> Column:
@@ -74,7 +80,7 @@ def object_pairs(span: Column) -> Column:
 
 def outside_pairs(text: Column) -> Column:
     """(key, value) of the pairs with a quoted key that stand outside object-like spans."""
-    rest = F.regexp_replace(F.coalesce(text, F.lit("")), OBJECT, "\n")
+    rest = F.regexp_replace(only(text, text.contains('"') & text.contains(":")), OBJECT, "\n")
     keys, quoted, bare = (F.regexp_extract_all(rest, F.lit(QUOTED_PAIR), F.lit(k)) for k in (1, 2, 3))
     zipped = F.transform(F.arrays_zip(keys.alias("k"), quoted.alias("q"), bare.alias("b")), lambda x: F.struct(clean_value(x["k"]).alias("key"), clean_value(F.when(x["b"] != "", x["b"]).otherwise(x["q"])).alias("value")))
     return F.filter(zipped, lambda x: (x.key != "") & (x.value != ""))

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import extract
 from loomtext.functions.terms import predicate_norm
-from loomtext.functions.text import clean_value, normalize, quality_class, quality_counts, stable_id, tokens
+from loomtext.functions.text import bound, clean_value, normalize, quality_class, quality_counts, stable_id, tokens
 from loomtext.operators.ranking import is_heading
+from loomtext.runtime import durable
 
 TIMES, EDGES, FRAMES = 8, 64, 32  # most times and edges of a unit that are related, and frames of a unit
 UNIT = ("doc_id", "unit_order")
@@ -54,9 +55,8 @@ def relation_arrays(text: Column) -> Column:
     objects = F.flatten(F.transform(extract.object_spans(text), lambda o: F.transform(extract.object_pairs(o), lambda p: _relation("record_value", F.lit("key_value"), p.key, p.value, 0.84, F.concat(F.lit("object:"), F.substring(F.sha2(normalize(o), 256), 1, 16)), "object_like"))))
     outside = F.transform(extract.outside_pairs(text), lambda p: _relation("record_value", F.lit("key_value"), p.key, p.value, 0.83, F.when(p.key.contains("."), F.regexp_replace(p.key, r"\.[^.]*$", "")).otherwise(p.key), "json_like"))
     labels = F.transform(extract.label_pairs(text), lambda p: _relation("label_value", F.lit("label"), p.label, p.value, 0.84))
-    row = F.when(text.rlike(r"[|\t]"), extract.cells(text)).otherwise(F.array().cast("array<string>"))
-    cells = F.transform(F.slice(row, 2, 10_000_000), lambda c, k: _relation("table_cell", F.concat(F.lit("cell_"), k + 1), F.get(row, F.lit(0)), c, 0.72))
-    cells = F.when(F.size(row) >= 2, cells).otherwise(F.filter(cells, lambda _: F.lit(False)))
+    of_row = lambda row: F.transform(F.filter(F.transform(row, lambda c, k: F.struct(c.alias("c"), k.alias("k"))), lambda x: x.k > 0), lambda x: _relation("table_cell", F.concat(F.lit("cell_"), x.k), row[0], x.c, 0.72))
+    cells = bound(extract.cells(extract.only(text, text.rlike(r"[|\t]"))), of_row)
     single = lambda values, kind, name, conf: F.transform(values, lambda v: _relation(kind, F.lit(name), F.lit(""), clean_value(v), conf))
     parts = (objects, outside, labels, cells, single(extract.urls(text), "identifier", "url", 0.85), single(extract.identifiers(text), "identifier", "identifier", 0.8), single(extract.timestamps(text), "temporal", "timestamp", 0.8))
     return F.filter(F.concat(*parts), lambda r: (r.subject != "") | (r.value != ""))
@@ -192,13 +192,14 @@ def assignments(units: DataFrame) -> DataFrame:
 
 def closure(seeds: DataFrame, edges: DataFrame, hops: int = 3) -> DataFrame:
     """(seed, node, hops): what is reached from each seed over undirected ``edges`` (left_id, right_id) in at most
-    ``hops`` steps, each node at its least distance; one equi-join a step."""
-    both = edges.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).unionByName(edges.select(F.col("right_id").alias("a"), F.col("left_id").alias("b"))).distinct()
-    seen = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hops")).distinct()
+    ``hops`` steps, each node at its least distance; one equi-join a step, and each step's rows are written once, so that
+    no step computes those before it again."""
+    both = durable(edges.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).unionByName(edges.select(F.col("right_id").alias("a"), F.col("left_id").alias("b"))).distinct())
+    seen = durable(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hops")).distinct())
     front = seen
     for k in range(1, hops + 1):
         near = front.join(both, front["node"] == both["a"]).select("seed", F.col("b").alias("node")).distinct()
-        front = near.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(k))
+        front = durable(near.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(k)))
         seen = seen.unionByName(front)
     return seen
 

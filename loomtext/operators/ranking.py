@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import extract
 from loomtext.functions.terms import content_words
-from loomtext.functions.text import clean_value, content, low_semantic_noise, normalize, quality_counts, tokens
+from loomtext.functions.text import bound, clean_value, content, low_semantic_noise, normalize, quality_counts, tokens
 
 
 def hits(material: Column, terms: list[str]) -> Column:
@@ -63,5 +63,5 @@ def section_anchor(rows: DataFrame, heading: Column) -> DataFrame:
 
 def is_heading(text: Column) -> Column:
     """A short line with a capitalised phrase, one to eight tokens, and no label, cell, address or identifier."""
-    t = clean_value(text)
-    return (t != "") & (F.length(t) <= 100) & ~t.rlike(r"[:|\t]") & (F.size(extract.urls(t)) == 0) & (F.size(extract.identifiers(t)) == 0) & F.size(tokens(t)).between(1, 8) & (F.size(extract.phrases(t)) > 0)
+    shaped = lambda t: (t != "") & (F.length(t) <= 100) & ~t.rlike(r"[:|\t]") & (F.size(extract.urls(t)) == 0) & (F.size(extract.identifiers(t)) == 0) & F.size(tokens(t)).between(1, 8) & (F.size(extract.phrases(t)) > 0)
+    return bound(clean_value(text), shaped)

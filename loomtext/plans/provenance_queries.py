@@ -11,7 +11,7 @@ from loomtext.operators import provenance as P
 from loomtext.operators.relations import object_relations
 from loomtext.operators.units import placed_units
 from loomtext.plans.sqltext import ANCHORED, ARGUMENTS, CLASS, FRAMES, GROUPED, MENTIONED, PAIRS, QUALITY, RELATIONS, STRUCTURE, UNITS, clean, norm, predicate_norm, sid, toks, variants
-from loomtext.runtime import table
+from loomtext.runtime import durable, table
 
 
 def units(spark, d):
@@ -56,7 +56,7 @@ def _identity(spark, d):
 
 def _closure(spark, d):
     """All referents within three steps of same-surface identity, from every referent that has any."""
-    e = _identity(spark, d).select("left_id", "right_id").distinct()
+    e = durable(_identity(spark, d).select("left_id", "right_id").distinct())  # seeds and edges come from the same rows
     return P.closure(e.select(F.col("left_id").alias("seed")), e).select("seed", "node", F.col("hops").cast("bigint").alias("hops"))
 
 

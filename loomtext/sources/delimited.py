@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 BLANKS = " \t\r\n"
 MARK = "\u0001"  # stands for the delimiter of the line's own sheet
+ESCAPE, ESCAPED = "\u0002", {"\u0002": "\u00020", MARK: "\u00021"}  # how these two are spelt where they stand in a line
 EDITS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("quotes_inserted", "quotes_deleted", "delimiters_inserted", "delimiters_deleted")])
 QUOTE_COST, DELIMITER_COST = 1_000_000, 1
 # Places of the automaton: at a field's start, after an inserted delimiter (no quote may open there), in plain text,
@@ -103,11 +104,12 @@ def parse_lines(lines: DataFrame, line: str, delimiter: str, width: int, valid:
     """
     marked, structure = "__marked", "__structure"
     text = F.coalesce(F.col(line), F.lit(""))
-    out = lines.withColumn(marked, F.replace(F.replace(text, F.lit(MARK), F.lit(" ")), F.col(delimiter), F.lit(MARK)))
+    out = lines.withColumn(marked, F.replace(F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPED[ESCAPE])), F.lit(MARK), F.lit(ESCAPED[MARK])), F.col(delimiter), F.lit(MARK)))
     out = out.withColumn(structure, F.regexp_replace(marked, f'[^"{MARK}]+', "x"))
     out = out.withColumn("edits", _edits_udf()(F.col(structure), F.lit(width)))
     raw = F.regexp_extract_all(F.concat(F.lit(MARK), F.col(marked)), F.lit(f'{MARK}("(?:[^"]++|"")*+"|[^"{MARK}]*)'), F.lit(1))
-    clean = F.transform(raw, lambda v: blank_trim(F.replace(F.when(v.startswith('"'), F.replace(v.substr(F.lit(2), F.length(v) - 2), F.lit('""'), F.lit('"'))).otherwise(v), F.lit(MARK), F.col(delimiter))))
+    written = lambda v: F.replace(F.replace(F.replace(v, F.lit(MARK), F.col(delimiter)), F.lit(ESCAPED[MARK]), F.lit(MARK)), F.lit(ESCAPED[ESCAPE]), F.lit(ESCAPE))
+    clean = F.transform(raw, lambda v: blank_trim(written(F.when(v.startswith('"'), F.replace(v.substr(F.lit(2), F.length(v) - 2), F.lit('""'), F.lit('"'))).otherwise(v))))
     e = F.col("edits")
     quoting, columns = e.quotes_inserted + e.quotes_deleted > 0, e.delimiters_inserted + e.delimiters_deleted > 0
     out = out.withColumn(fields, F.when(~quoting & ~columns, clean))

@@ -57,3 +57,9 @@ def test_measurements_need_their_header(spark):
 
 def test_empty_tables(spark):
     assert delimited.rejected_rows(spark.createDataFrame([], SHIPPING), spark.createDataFrame([], MEASURES)).count() == 0
+
+
+def test_every_character_of_a_value_is_kept(spark):
+    city = "a\u0001b\u00021\u00020c"
+    df = spark.createDataFrame([(1, "f", 1, "ABC-12", city, "held", None, None), (2, "f", 2, "ABC-13", f'"{city}"', "held", None, None)], "row_id bigint, rel_path string, line_no int, parcel string, city string, status string, extra string, loaded_at timestamp")
+    assert {r["city"] for r in delimited.loaded_shipping(df).collect()} == {city}
