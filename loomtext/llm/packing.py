@@ -8,6 +8,7 @@ container badly filled, so the loss does not grow with the corpus.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,7 +18,7 @@ from loomtext.llm.tokens import TOKENIZER, token_count
 from loomtext.runtime import durable, table
 
 GROUP = 4_000  # items of a group, on average
-MOST_POOLS = 1_000
+POOL_BLOCK = 1_000  # pools that are written into one plan, on average; more make more plans
 
 
 def _dominating(values: list[int], size: int, room: int) -> list[int] | None:
@@ -114,20 +115,25 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["pool", "container", "doc_id", "part", "token_start", "tokens", "capacity", "fill", "fixed"]]
 
 
-def pack(documents: DataFrame, limits: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def pack(documents: DataFrame, limits: DataFrame, tokenizer: str = TOKENIZER, block: int = POOL_BLOCK) -> DataFrame:
     """For each pool a packing of all texts: one row per text, or per part of a text larger than a container.
 
     ``token_start`` is where a part starts in its text's tokens.  Null and empty texts have no tokens and no row; equal
-    texts are packed each on its own; ``fixed`` tells the containers that dominance fixed; pools without a positive capacity take nothing.
+    texts are packed each on its own; ``fixed`` tells the containers that dominance fixed; pools without a positive capacity take nothing;
+    a pool that is listed more than once has its largest capacity.  Pools are taken in blocks of about ``block``, however many there are.
     """
-    pools = limits.where("capacity_tokens > 0 AND pool IS NOT NULL").limit(MOST_POOLS + 1).collect()
-    if len(pools) > MOST_POOLS:
-        raise ValueError(f"more than {MOST_POOLS} pools")
+    pools = limits.where("capacity_tokens > 0 AND pool IS NOT NULL").groupBy("pool").agg(F.max("capacity_tokens").alias("capacity_tokens"))
     schema = "pool string, container string, doc_id bigint, part int, token_start int, tokens int, capacity int, fill int, fixed boolean"
-    if not pools:
+    blocks = -(-pools.count() // block)
+    if not blocks:
         return documents.sparkSession.createDataFrame([], schema)
     sized = durable(documents.where("text IS NOT NULL AND text <> ''").select("doc_id", token_count(F.col("text"), tokenizer).alias("n")))
     groups = max(1, -(-sized.count() // GROUP))
+    of_block = (pools.where(F.pmod(F.xxhash64("pool"), F.lit(blocks)) == b).collect() for b in range(blocks))
+    return reduce(DataFrame.unionByName, [_packed(sized, some, groups, schema) for some in of_block if some])
+
+
+def _packed(sized: DataFrame, pools: list, groups: int, schema: str) -> DataFrame:
     each = F.explode(F.array(*[F.struct(F.lit(p["pool"]).alias("pool"), F.lit(int(p["capacity_tokens"])).alias("capacity")) for p in pools]))
     items = sized.where("n > 0").select("doc_id", "n", each.alias("p")).select("doc_id", "n", "p.*")
     last = F.ceil(F.col("n") / F.col("capacity")).cast("int") - 1

@@ -101,3 +101,6 @@ def test_draw_and_pack(spark):
     whole = packed.groupby("doc_id").tokens.sum()
     assert (packed[packed.part == 0].set_index("doc_id").tokens.le(16)).all() and whole.min() > 0
     assert packing.pack(docs.limit(0), limits).count() == 0
+    many = spark.createDataFrame([(f"p{k}", 16 + k) for k in range(5)] + [("p0", 16), ("p0", 7), (None, 9), ("none", 0)], "pool string, capacity_tokens int")
+    rows = lambda block: sorted(map(tuple, packing.pack(docs, many, block=block).collect()), key=str)
+    assert rows(2) == rows(1_000) and {r[0] for r in rows(2)} == {f"p{k}" for k in range(5)}
