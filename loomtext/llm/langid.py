@@ -283,7 +283,7 @@ def identify(texts: list[str], net: Net, judge: sentences.Judge) -> list[list[tu
 def _identify(shared, cases_only: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net, counts = shared.value
-        judge = sentences.Judge(counts)
+        judge = sentences.Judge(counts.value)
         for b in batches:
             for s in range(0, len(b), 500):
                 part = b.iloc[s:s + 500]

@@ -207,3 +207,18 @@ def test_easily_undone():
             assert mojibake.easily_undone(bad) == text
         assert mojibake.easily_undone(text) == text
     assert mojibake.easily_undone("scell+AOk. 1+1-2") == "scell+AOk. 1+1-2" and mojibake.easily_undone("AOk +AOk-crit") == "AOk écrit"
+
+
+def test_a_key_seen_once_in_a_million_counts(spark):
+    """'Zq.' stands once among more than a million periods that end paragraphs, and inside its sentence."""
+    docs = spark.createDataFrame([(1, "We met Zq. Ann today.", "en"), (2, "He left.\n\n" * 1_100_000, "en")], "doc_id bigint, text string, lang string")
+    rows = sentences.sentence_units(docs, docs.where("doc_id = 1").select("doc_id")).collect()
+    assert [(r.char_start, r.char_end) for r in rows] == [(0, 21)]
+
+
+def test_counts_written_by_slices_are_those_of_one_table(spark, corpus, monkeypatch):
+    want = sentences.learn(corpus).value
+    monkeypatch.setattr(sentences, "SLICE", 100)
+    keys, n = sentences.learn(corpus).value
+    assert len(keys) > 300 and (np.diff(keys) > 0).all()
+    assert (keys == want[0]).all() and (n == want[1]).all()
