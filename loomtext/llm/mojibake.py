@@ -7,6 +7,7 @@ margin validated on clean and artificially garbled records.
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 from bisect import bisect_left
@@ -48,13 +49,15 @@ def _encode(text: str, codec: str) -> bytes | None:
             return text.encode(codec)
         except UnicodeEncodeError:
             return None
-    to = _bytes_of(codec)
     try:
-        return bytes([to[ord(c)] for c in text])
-    except KeyError:
+        return codecs.charmap_encode(text, "strict", _bytes_of(codec))[0]
+    except UnicodeEncodeError:
         return None
 
 
+_CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f]")
+
+
 def undo(text: str, chain: tuple[str, str]) -> str | None:
     """``text`` as it was before the wrong decoding; bytes that cannot be told come out as U+FFFD.  None where the chain
     cannot have made the text or most of it would be lost."""
@@ -62,7 +65,7 @@ def undo(text: str, chain: tuple[str, str]) -> str | None:
     if raw is None:
         return None
     out = raw.decode(chain[1], "replace")
-    return None if out == text or out.count(LOST) * 3 > len(out) or any(c < " " and c not in "\t\n\r" for c in out) else out
+    return None if out == text or out.count(LOST) * 3 > len(out) or _CONTROL.search(out) else out
 
 
 def _pairs(codec: str, *more: int) -> str:
@@ -70,8 +73,17 @@ def _pairs(codec: str, *more: int) -> str:
     return f"[{''.join(at(b) for b in (*more, 0xC3, 0xC4, 0xC5, 0xD0, 0xD1, 0xD8, 0xD9, 0xE0, *range(0xE2, 0xEA)))}][{''.join(at(b) for b in range(0x80, 0xC0))}]"
 
 
-# Records with any of these are not used for training; many clean ones are left out with them.
-DOUBTFUL = re.compile("|".join([*(_pairs(c) for c in ("cp1252", "latin-1", "cp1250", "cp437", "cp850", "cp1251")), "Â[\x80-\xbf]", "[\x80-\x9f�√]|‚Ä|[¬≈∞∂][\x80-ÿ√π∫ªº]", "[¡-ÿ]{4}", "[a-zà-ÿ][¹³¿¼¾œ][a-zà-ÿ]", "[a-z][±¶¦¯¬£¥§©®°µ¸»«¢¤¨²´¡][a-z]", r"\+[A-Za-z0-9/]{3,}-"]))
+# Records with any of these are not used for training; many clean ones are left out with them.  Each pattern is told from its
+# first character beyond ASCII on (what stands before and at it, what follows), so that the search can leap from one to the next.
+_DOUBTS = [*((x[:k], x[k:]) for x in (_pairs(c) for c in ("cp1252", "latin-1", "cp1250", "cp437", "cp850", "cp1251")) for k in [x.index("][") + 1]), ("Â", "[\x80-\xbf]"), ("[\x80-\x9f�√]", ""), ("‚", "Ä"), ("[¬≈∞∂]", "[\x80-ÿ√π∫ªº]"), ("[¡-ÿ]", "[¡-ÿ]{3}"), ("[a-zà-ÿ][¹³¿¼¾œ]", "[a-zà-ÿ]"), ("[a-z][±¶¦¯¬£¥§©®°µ¸»«¢¤¨²´¡]", "[a-z]")]
+DOUBTFUL = re.compile("[" + "".join(x[x.rindex("[") + 1:-1] if x[-1] == "]" else x for x, _ in _DOUBTS) + "](?:" + "|".join(f"(?<={x}){y}" for x, y in _DOUBTS) + ")")
+PLUS = re.compile(r"\+[A-Za-z0-9/]{3,}-")
+
+
+def doubtful(text: str) -> bool:
+    return DOUBTFUL.search(text) is not None or ("+" in text and PLUS.search(text) is not None)
+
+
 RUN = re.compile(r"[^\x00-\x7f]+(?:[\x40-\x7e]?[^\x00-\x7f]+)*[\x40-\x7e]?")
 SHORT_RUN = re.compile(r"[^\x00-\x7f]+")
 UTF7 = re.compile(r"\+([A-Za-z0-9/+]{3,})-")
@@ -209,9 +221,12 @@ def fields_of(text: str | None, raw: str | None) -> list[tuple[str, str]]:
     return ([("text", text)] if text else []) + ([("metadata_json", "\n".join(v))] if (v := _values(raw)) else [])
 
 
+Run = tuple[str, str, str]  # up to two characters before a run, the run, up to two after it
+
+
 def _train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        texts = [s for t, m in zip(b["text"], b["metadata_json"]) for _, s in fields_of(t, m) if not s.isascii() and not DOUBTFUL.search(s)]
+        texts = [s for t, m in zip(b["text"], b["metadata_json"]) for _, s in fields_of(t, m) if not s.isascii() and not doubtful(s)]
         keys = [trigrams(_points("\n\n".join(texts[k:k + 500]) + "\n\n"))[0] for k in range(0, len(texts), 500)]
         own, n = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         yield pd.DataFrame({"trigram": own, "n": n})
@@ -226,6 +241,31 @@ def learn(documents: DataFrame) -> Model:
     return Model(got["trigram"].to_numpy(np.int64), got["n"].to_numpy(np.int64))
 
 
+def explanations(run: str) -> list[tuple[float, str, str]]:
+    """(cost, chain, restored) of all that may be undone in a run; of equal texts the cheapest and first.  Those of short
+    runs, which come again in other contexts, are kept."""
+    return _short_explained(run) if len(run) <= 12 else _explained(run)
+
+
+def _explained(run: str) -> list[tuple[float, str, str]]:
+    found: dict[str, tuple[float, str, str]] = {}
+    for chain in CHAINS:
+        text, name = run, f"{chain[1]}>{chain[0]}"
+        for depth in range(3 if chain[1] == "utf-8" else 1):
+            out = undo(text, chain)
+            if out is None:
+                break
+            cost = 0.3 * depth + (2.0 if len(run) < 3 and chain[1] != "utf-8" else 0.0)  # little evidence: any byte stands for some letter in these
+            if out not in found or cost < found[out][0]:
+                found.pop(out, None)
+                found[out] = (cost, " ".join([name] * (depth + 1)), out)
+            text = out
+    return list(found.values())
+
+
+_short_explained = lru_cache(maxsize=50_000)(_explained)
+
+
 class Restorer:
     """Scores runs in their context; ``margin`` is what a restored run must be likelier by, per trigram."""
 
@@ -234,32 +274,54 @@ class Restorer:
         self.unseen = model.unseen
         self.rare = -13.2  # a trigram of one in half a million or rarer calls for a look at its run
         self.common = self.rare + 2.7  # runs whose trigrams are likelier on average are left alone
-        self.best = lru_cache(maxsize=50_000)(self._best)
+        self.known: dict[Run, tuple[float, str, str]] = {}
+
+    def means(self, texts: list[str]) -> np.ndarray:
+        """The mean over the trigrams of each text, of many texts looked up at once."""
+        return np.concatenate([self._means(part) for part in cp.slices(texts)] or [np.zeros(0)])
+
+    def _means(self, texts: list[str]) -> np.ndarray:
+        points, starts = cp.flatten(texts)
+        keys, at = trigrams(np.append(cp.lowered(points), np.array([10, 10], np.uint32)))
+        owner = np.searchsorted(starts, at, "right") - 1
+        inside = at + 3 < starts[owner + 1]
+        keys, owner = keys[inside], owner[inside]
+        n = np.bincount(owner, minlength=len(texts))
+        total = np.bincount(owner, weights=self.model(keys), minlength=len(texts))
+        return np.where(np.diff(starts) < 4, self.unseen, np.where(n > 0, total / np.maximum(n, 1), -9.0))
 
     def mean(self, text: str) -> float:
-        if len(text) < 3:
-            return self.unseen
-        keys, _ = trigrams(_points(text))
-        return float(self.model(keys).mean()) if len(keys) else -9.0
-
-    def _best(self, before: str, run: str, after: str) -> tuple[float, str, str]:
-        """(gain, chain, restored) of the likeliest explanation of a run."""
-        stands, best = self.mean(before + run + after), (-99.0, "", run)
-        if stands > self.common:
-            return best
-        for chain in CHAINS:
-            text, name = run, f"{chain[1]}>{chain[0]}"
-            for depth in range(3 if chain[1] == "utf-8" else 1):
-                out = undo(text, chain)
-                if out is None:
-                    break
-                gain = self.mean(before + out + after) - stands - 0.3 * depth
-                if len(run) < 3 and chain[1] != "utf-8":
-                    gain -= 2.0  # little evidence: any byte stands for some letter in these
-                if gain > best[0]:
-                    best = (gain, " ".join([name] * (depth + 1)), out)
-                text = out
-        return best
+        return float(self.means([text])[0])
+
+    def best_of(self, runs: list[Run]) -> list[tuple[float, str, str]]:
+        """(gain, chain, restored) of the likeliest explanation of each run."""
+        stands = self.means(["".join(r) for r in runs])
+        out = [(-99.0, "", r[1]) for r in runs]
+        asked = [(k, explanations(runs[k][1])) for k in np.flatnonzero(stands <= self.common).tolist()]
+        asked = [(k, found) for k, found in asked if found]
+        if not asked:
+            return out
+        size = np.array([len(found) for _, found in asked])
+        first = np.cumsum(size) - size
+        gains = self.means([runs[k][0] + text + runs[k][2] for k, found in asked for _, _, text in found])
+        gains -= np.repeat(stands[[k for k, _ in asked]], size) + np.array([cost for _, found in asked for cost, _, _ in found])
+        for (k, found), a, n in zip(asked, first.tolist(), size.tolist()):
+            at = int(gains[a:a + n].argmax())
+            out[k] = (float(gains[a + at]), *found[at][1:])
+        return out
+
+    def best(self, *run: str) -> tuple[float, str, str]:
+        if run not in self.known:
+            self.look_ahead([run])
+        return self.known[run]
+
+    def look_ahead(self, runs: list[Run]) -> None:
+        """Keeps the explanations of the runs, so that they are found together."""
+        new = [r for r in dict.fromkeys(runs) if r not in self.known]
+        if len(self.known) + len(new) > 50_000:
+            self.known = {r: self.known[r] for r in runs if r in self.known}
+        for k in range(0, len(new), 500):
+            self.known.update(zip(new[k:k + 500], self.best_of(new[k:k + 500])))
 
     def suspicious(self, texts: list[str]) -> list[list[int] | None]:
         """For each text the places of trigrams that are rare in clean records; None where there are none and no lost
@@ -275,32 +337,53 @@ class Restorer:
             out[k].append(place)
         return out
 
+    def places(self, text: str, odd: list[int], pattern: re.Pattern) -> Iterator[tuple[int, int]]:
+        """Where the runs of a text with rare trigrams at the places ``odd`` stand."""
+        for m in pattern.finditer(text):
+            s, e = m.span()
+            k = bisect_left(odd, s - 2)
+            if not (k == len(odd) or odd[k] >= e or (pattern is RUN and (e - s < 3 or SHORT_RUN.fullmatch(m.group())))):
+                yield s, e
+
+    def likelier(self, text: str, places: list[tuple[int, int]]) -> Iterator[tuple[int, int, float, str, str]]:
+        for s, e in places:
+            gain, chain, out = self.best(text[max(0, s - 2):s], text[s:e], text[e:e + 2])
+            if gain > self.margin:
+                yield s, e, gain, chain, out
+
+    def utf7(self, text: str) -> Iterator[tuple[int, int, float, str, str]]:
+        for m in UTF7.finditer(text) if "+" in text else ():
+            try:
+                out = m.group().encode().decode("utf-7")
+            except UnicodeDecodeError:
+                continue
+            gain = self.mean(text[max(0, m.start() - 2):m.start()] + out + text[m.end():m.end() + 2]) - self.rare - 1.0
+            if not out.isascii() and gain > 0:
+                yield m.start(), m.end(), gain, "utf-7", out
+
     def runs(self, text: str, odd: list[int]) -> Iterator[tuple[int, int, float, str, str]]:
         """(start, end, gain, chain, restored) of all runs of a text with rare trigrams at the places ``odd``
         that are likelier undone: of characters beyond ASCII alone, and with single ASCII characters between; they may overlap."""
-        if "+" in text:
-            for m in UTF7.finditer(text):
-                try:
-                    out = m.group().encode().decode("utf-7")
-                except UnicodeDecodeError:
-                    continue
-                gain = self.mean(text[max(0, m.start() - 2):m.start()] + out + text[m.end():m.end() + 2]) - self.rare - 1.0
-                if not out.isascii() and gain > 0:
-                    yield m.start(), m.end(), gain, "utf-7", out
+        yield from self.utf7(text)
         for pattern in (SHORT_RUN, RUN):
-            for m in pattern.finditer(text):
-                s, e = m.span()
-                k = bisect_left(odd, s - 2)
-                if k == len(odd) or odd[k] >= e or (pattern is RUN and (e - s < 3 or SHORT_RUN.fullmatch(m.group()))):
-                    continue
-                gain, chain, out = self.best(text[max(0, s - 2):s], m.group(), text[e:e + 2])
-                if gain > self.margin:
-                    yield s, e, gain, chain, out
-
-    def garbled(self, text: str, odd: list[int]) -> bool:
-        if LOST in text and sum(map(text.count, "~^%&#@*<>\\|")) < 0.1 * len(text):
-            return True
-        return next(self.runs(text, odd), None) is not None
+            places = list(self.places(text, odd, pattern))
+            self.look_ahead([(text[max(0, s - 2):s], text[s:e], text[e:e + 2]) for s, e in places])
+            yield from self.likelier(text, places)
+
+    def garbled(self, texts: list[str], odds: list[list[int] | None]) -> list[bool]:
+        """Whether each text has lost characters or a run that is likelier undone; of all texts together the first runs are
+        looked at, then more of those that are still open, until each is settled."""
+        out = [odd is not None and ((LOST in t and sum(map(t.count, "~^%&#@*<>\\|")) < 0.1 * len(t)) or next(self.utf7(t), None) is not None) for t, odd in zip(texts, odds)]
+        for pattern in (SHORT_RUN, RUN):
+            still = {k: places for k, (t, odd) in enumerate(zip(texts, odds)) if odd and not out[k] and (places := list(self.places(t, odd, pattern)))}
+            at, to = 0, 2
+            while still:
+                self.look_ahead([(texts[k][max(0, s - 2):s], texts[k][s:e], texts[k][e:e + 2]) for k, places in still.items() for s, e in places[at:to]])
+                for k, places in still.items():
+                    out[k] = next(self.likelier(texts[k], places[at:to]), None) is not None
+                still = {k: places for k, places in still.items() if not out[k] and len(places) > to}
+                at, to = to, 4 * to
+        return out
 
     def restored(self, text: str, odd: list[int]) -> tuple[str, str]:
         """The text with its garbled runs undone, and the chains that explain them; of overlapping runs the one with the
@@ -362,7 +445,7 @@ def _restorer(documents: DataFrame):
     model = learn(documents)
     share = max(1, round(documents.count() / VALIDATION))
     rows = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text").toPandas()
-    clean = [t for t in rows["text"] if t and not t.isascii() and not DOUBTFUL.search(t)]
+    clean = [t for t in rows["text"] if t and not t.isascii() and not doubtful(t)]
     return documents.sparkSession.sparkContext.broadcast((model, validate(model, clean)))
 
 
@@ -377,8 +460,10 @@ def _run(shared, restore: bool):
                 if not items:
                     continue
                 whole = {d: m for d, m in zip(part["doc_id"], part["metadata_json"])} if restore else {}
-                for (d, f, s), odd in zip(items, r.suspicious([s for _, _, s in items])):
-                    if odd is not None and r.garbled(s, odd):
+                texts = [s for _, _, s in items]
+                odds = r.suspicious(texts)
+                for (d, f, s), odd, is_garbled in zip(items, odds, r.garbled(texts, odds)):
+                    if is_garbled:
                         rows.append((d, f, *(r.restored(s, odd) if f == "text" else r.restored_json(whole[d]))) if restore else (d, f, None, None))
             yield pd.DataFrame(rows, columns=["doc_id", "field", "restored", "chains"])
 

@@ -222,3 +222,23 @@ def test_counts_written_by_slices_are_those_of_one_table(spark, corpus, monkeypa
     keys, n = sentences.learn(corpus).value
     assert len(keys) > 300 and (np.diff(keys) > 0).all()
     assert (keys == want[0]).all() and (n == want[1]).all()
+
+
+def test_runs_judged_together_are_judged_as_alone():
+    clean = ["Ann Müntzig slept – é.", "Ночь была тихой.", "鍵は霧谷倉庫へ運ばれました。"] * 40
+    b = pd.concat(mojibake._train([pd.DataFrame({"text": clean, "metadata_json": None})]))
+    r = mojibake.Restorer(mojibake.Model(b["trigram"].to_numpy(), b["n"].to_numpy()), 1.5)
+    runs = [(" M", "Ã¼", "nt"), (" M", "ü", "nt"), ("", "é", ""), ("p ", "â€“", " Ã"), ("", "Íî÷ü", " á"), ("", "�", ""), ("a", "œ", "b")]
+    for run, got in zip(runs, r.best_of(runs)):
+        stands, want = r.mean("".join(run)), (-99.0, "", run[1])
+        for chain in mojibake.CHAINS if stands <= r.common else ():
+            text = run[1]
+            for depth in range(3 if chain[1] == "utf-8" else 1):
+                if (out := mojibake.undo(text, chain)) is None:
+                    break
+                gain = r.mean(run[0] + out + run[2]) - stands - 0.3 * depth - 2.0 * (len(run[1]) < 3 and chain[1] != "utf-8")
+                if gain > want[0] + 1e-9:
+                    want = (gain, " ".join([f"{chain[1]}>{chain[0]}"] * (depth + 1)), out)
+                text = out
+        assert got[1:] == want[1:] and abs(got[0] - want[0]) < 1e-6
+    assert r.best_of(runs)[0][2] == "ü" and r.best_of(runs)[4][2] == "Ночь"
