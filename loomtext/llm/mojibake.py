@@ -2,7 +2,7 @@
 
 A smoothed trigram model of characters is trained on clean records; every chain of encodings that may explain a
 suspicious run is undone and scored, and the likeliest is accepted where it beats the text as it stands by more than a
-margin validated on clean and artificially garbled records.
+margin validated on the runs of all clean records, as they stand and garbled on purpose.
 """
 
 from __future__ import annotations
@@ -11,11 +11,13 @@ import codecs
 import json
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ from loomtext.runtime import durable, table
 
 FLOOR = 4_000_000  # a trigram rarer than one in so many is taken as not seen, so the model holds at most so many
 EACH, UNSEEN = 0.02, 21_000.0  # pseudo-counts of a trigram, and of all that were not seen
-VALIDATION = 600  # most clean records on which the margin is validated
+STEPS = 1_000  # gains are counted in steps of one in so many
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp437", "cp850", "cp852", "cp866", "mac_roman", "koi8-r", "iso8859-2", "iso8859-15", "cp1256", "cp874")
 READ_WIDE = ("gb18030", "shift_jis", "euc_jp", "big5")
 # (read as, really): what was decoded by the first but had been encoded by the second
@@ -225,20 +227,30 @@ Run = tuple[str, str, str]  # up to two characters before a run, the run, up to
 
 
 def _train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The trigrams of clean records, and their runs in context (where ``run`` is not null), with how often they occur."""
     for b in batches:
         texts = [s for t, m in zip(b["text"], b["metadata_json"]) for _, s in fields_of(t, m) if not s.isascii() and not doubtful(s)]
         keys = [trigrams(_points("\n\n".join(texts[k:k + 500]) + "\n\n"))[0] for k in range(0, len(texts), 500)]
         own, n = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        yield pd.DataFrame({"trigram": own, "n": n})
-
-
-def learn(documents: DataFrame) -> Model:
-    """The model of all clean records: exact counts, summed in each batch and then by Spark, above the floor."""
-    counted = documents.select("text", "metadata_json").mapInPandas(_train, "trigram bigint, n bigint").groupBy("trigram").agg(F.sum("n").alias("n"))
+        yield pd.DataFrame({"trigram": own, "before": None, "run": None, "after": None, "n": n})
+        runs: Counter[Run] = Counter()
+        for t in texts:
+            runs.update([(t[max(0, (s := m.start()) - 2):s], m.group(), t[(e := m.end()):e + 2]) for m in SHORT_RUN.finditer(t)])
+        if runs:
+            before, run, after = zip(*runs)
+            yield pd.DataFrame({"trigram": 0, "before": before, "run": run, "after": after, "n": list(runs.values())})
+
+
+def learn(documents: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of all clean records, and their runs: exact counts, summed in each batch and then by Spark, of trigrams
+    those above the floor."""
+    key = ["trigram", "before", "run", "after"]
+    counted = documents.select("text", "metadata_json").mapInPandas(_train, "trigram bigint, before string, run string, after string, n bigint").groupBy(*key).agg(F.sum("n").alias("n"))
     counted = durable(counted)
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    got = counted.where(F.col("n") * FLOOR >= total).toPandas()
-    return Model(got["trigram"].to_numpy(np.int64), got["n"].to_numpy(np.int64))
+    known = counted.where("run IS NULL").select("trigram", "n")
+    total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    got = known.where(F.col("n") * FLOOR >= total).toArrow()
+    return Model(got["trigram"].to_numpy(), got["n"].to_numpy()), counted.where("run IS NOT NULL").select("before", "run", "after", "n")
 
 
 def explanations(run: str) -> list[tuple[float, str, str]]:
@@ -418,40 +430,63 @@ class Restorer:
         return json.dumps(got, ensure_ascii=False), ",".join(sorted(chains))
 
 
-def validate(model: Model, clean: list[str]) -> float:
-    """A margin between the gains that clean runs reach by chance and those of runs garbled on purpose."""
-    r = Restorer(model)
-    r.common = np.inf
-    by_chance, by_rights = [], []
-    for k, t in enumerate(clean):
-        for j, m in enumerate(SHORT_RUN.finditer(t)):
-            s, e = m.span()
-            before, after = t[max(0, s - 2):s], t[e:e + 2]
-            by_chance.append(r.best(before, m.group(), after)[0])
-            wrong, right = CHAINS[(k + j) % len(CHAINS)]
-            try:
-                raw = m.group().encode(right)
-                bad = raw.decode(wrong) if wrong in READ_WIDE else "".join(bytes([b]).decode(wrong, "ignore") or chr(b) for b in raw)
-            except (UnicodeError, ValueError):
-                continue
-            by_rights.append(r.best(before, bad, after)[0])
-    if not by_chance or not by_rights:
-        return r.margin
-    low, high = np.quantile(by_chance, 0.9995), np.quantile(by_rights, 0.03)
+def garble(run: Run) -> Run | None:
+    """A run as a chain of encodings that its hash chooses would garble it; None where that chain has no such characters."""
+    wrong, right = CHAINS[xxhash.xxh3_64_intdigest("\0".join(run)) % len(CHAINS)]
+    try:
+        raw = run[1].encode(right)
+        return run[0], raw.decode(wrong) if wrong in READ_WIDE else "".join(bytes([b]).decode(wrong, "ignore") or chr(b) for b in raw), run[2]
+    except (UnicodeError, ValueError):
+        return None
+
+
+def _gains(shared):
+    """(garbled, gain, n): gains in steps, of runs as they stand and of the same runs garbled on purpose."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = Restorer(shared.value)
+        r.common = np.inf
+        for b in batches:
+            for k in range(0, len(b), 500):
+                part = b.iloc[k:k + 500]
+                stand, n = list(zip(part["before"], part["run"], part["after"])), part["n"].to_numpy()
+                bad = [garble(x) for x in stand]
+                did = np.array([x is not None for x in bad], bool)
+                gains = np.array([g for g, _, _ in r.best_of(stand + [x for x in bad if x is not None])])
+                steps = np.rint(gains * STEPS).astype(np.int64)
+                yield pd.DataFrame({"garbled": np.repeat([False, True], [len(stand), int(did.sum())]), "gain": steps, "n": np.concatenate((n, n[did]))})
+
+    return run
+
+
+def quantile(values: np.ndarray, n: np.ndarray, q: float) -> float:
+    """The quantile of sorted values that occur ``n`` times each, between neighbours in proportion."""
+    upto = np.cumsum(n)
+    at = q * (int(upto[-1]) - 1)
+    low, high = values[np.searchsorted(upto, [int(at), min(int(at) + 1, int(upto[-1]) - 1)], "right")]
+    return float(low + (high - low) * (at - int(at)))
+
+
+def validate(shared, runs: DataFrame) -> float:
+    """A margin between the gains that the runs of all clean records reach by chance and those of the same runs garbled on
+    purpose.  Equal runs in equal contexts are judged once and count as often as they occur; gains are exact to one in ``STEPS``."""
+    spread = runs.repartition(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = spread.mapInPandas(_gains(shared), "garbled boolean, gain bigint, n bigint").groupBy("garbled", "gain").agg(F.sum("n").alias("n")).toPandas().sort_values("gain")
+    by_chance, by_rights = (rows[rows["garbled"] == g] for g in (False, True))
+    if by_chance.empty or by_rights.empty:
+        return Restorer(shared.value).margin
+    low, high = (quantile(x["gain"].to_numpy() / STEPS, x["n"].to_numpy(), q) for x, q in ((by_chance, 0.9995), (by_rights, 0.03)))
     return float(np.clip(low + 0.25 * max(high - low, 0), 1.5, 4.0))
 
 
 def _restorer(documents: DataFrame):
-    model = learn(documents)
-    share = max(1, round(documents.count() / VALIDATION))
-    rows = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text").toPandas()
-    clean = [t for t in rows["text"] if t and not t.isascii() and not doubtful(t)]
-    return documents.sparkSession.sparkContext.broadcast((model, validate(model, clean)))
+    model, runs = learn(documents)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    return shared, validate(shared, runs)
 
 
-def _run(shared, restore: bool):
+def _run(shared, margin: float, restore: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = Restorer(*shared.value)
+        r = Restorer(shared.value, margin)
         for b in batches:
             rows = []
             for k in range(0, len(b), 500):
@@ -477,7 +512,7 @@ def garbled_fields(documents: DataFrame, restore: bool = False) -> DataFrame:
     for good.  Null and empty fields, and fields of ASCII only, have no rows; with no clean record nothing can be
     judged but lost characters; equal fields have equal results.
     """
-    return documents.select("doc_id", "text", "metadata_json").mapInPandas(_run(_restorer(documents), restore), "doc_id bigint, field string, restored string, chains string")
+    return documents.select("doc_id", "text", "metadata_json").mapInPandas(_run(*_restorer(documents), restore), "doc_id bigint, field string, restored string, chains string")
 
 
 QUERIES = {

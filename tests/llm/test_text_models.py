@@ -224,9 +224,33 @@ def test_counts_written_by_slices_are_those_of_one_table(spark, corpus, monkeypa
     assert (keys == want[0]).all() and (n == want[1]).all()
 
 
+def test_the_margin_is_validated_on_the_runs_of_all_clean_records(spark):
+    """3,000 records, each of up to 1,000 words: none is passed over, and each run counts as often as it occurs."""
+    letters = "опрстуфхцч"
+    texts = [f"Ann {letters[k % 10]}{letters[k // 10 % 10]}{letters[k // 100 % 10]} – {letters[k % 7]}." for k in range(3_000)]
+    assert not any(map(mojibake.doubtful, texts))
+    docs = spark.createDataFrame([(k, t, '{"title": "São"}' if k % 2 else None) for k, t in enumerate(texts)] + [(9000, "Ann MÃ¼ntzig", None), (9001, None, None)], "doc_id bigint, text string, metadata_json string")
+    model, runs = mojibake.learn(docs)
+    every = [(s[max(0, m.start() - 2):m.start()], m.group(), s[m.end():m.end() + 2]) for k, t in enumerate(texts) for s in [t] + ["São"] * (k % 2) for m in mojibake.SHORT_RUN.finditer(s)]
+    assert runs.agg({"n": "sum"}).first()[0] == len(every) and runs.count() == len(set(every))
+    shared = spark.sparkContext.broadcast(model)
+    rows = runs.mapInPandas(mojibake._gains(shared), "garbled boolean, gain bigint, n bigint").toPandas()
+    r = mojibake.Restorer(model)
+    r.common = np.inf
+    chance, rights = [r.best(*x)[0] for x in every], [r.best(*x)[0] for x in map(mojibake.garble, every) if x]
+    want = []
+    for got, gains, q in ((rows[~rows.garbled], chance, 0.9995), (rows[rows.garbled], rights, 0.03)):
+        got = got.sort_values("gain")
+        assert got.n.sum() == len(gains)
+        want.append(np.quantile(gains, q))
+        assert abs(mojibake.quantile(got.gain.to_numpy() / mojibake.STEPS, got.n.to_numpy(), q) - want[-1]) < 2 / mojibake.STEPS
+    assert abs(mojibake.validate(shared, runs) - np.clip(want[0] + 0.25 * max(want[1] - want[0], 0), 1.5, 4)) < 2 / mojibake.STEPS
+
+
 def test_runs_judged_together_are_judged_as_alone():
     clean = ["Ann Müntzig slept – é.", "Ночь была тихой.", "鍵は霧谷倉庫へ運ばれました。"] * 40
     b = pd.concat(mojibake._train([pd.DataFrame({"text": clean, "metadata_json": None})]))
+    b = b[b.run.isna()]
     r = mojibake.Restorer(mojibake.Model(b["trigram"].to_numpy(), b["n"].to_numpy()), 1.5)
     runs = [(" M", "Ã¼", "nt"), (" M", "ü", "nt"), ("", "é", ""), ("p ", "â€“", " Ã"), ("", "Íî÷ü", " á"), ("", "�", ""), ("a", "œ", "b")]
     for run, got in zip(runs, r.best_of(runs)):
