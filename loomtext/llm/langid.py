@@ -15,9 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm import codepoints as cp
 from loomtext.llm import sentences, textstats
 from loomtext.llm.labels import code_of
-from loomtext.runtime import table
+from loomtext.runtime import durable, table
 
 WINDOW, WIDTHS, FILTERS = 64, (2, 3, 4), 20
 PLACES = WINDOW - max(WIDTHS) + 1  # where every filter is tried
@@ -28,7 +29,18 @@ LONGEST = 6_000  # characters of a training document; longer ones are not chosen
 ADDRESS = re.compile(r"https?://\S+")
 FIELD = re.compile(r"[a-z_]+\s*=|[a-z_]+:\s(?=\")")  # names of fields before their values
 GARBLED = [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "cp1250"), ("utf-8", "cp437"), ("utf-8", "mac_roman"), ("utf-8", "cp1251"), ("gb18030", "latin-1"), ("euc_jp", "latin-1"), ("cp1251", "latin-1"), ("shift_jis", "cp1252")]
-ROUGH = re.compile(r"(?<=[.!?।؟])[\"”»“’)\]]*\s+|(?<=[。！？])[」”』）]*|\n+")
+ROUGH = re.compile(r"[.!?।؟。！？\n](?:(?<=[.!?।؟])[\"”»“’)\]]*\s+|(?<=[。！？])[」”』）]*|(?<=\n)\n*)")
+
+
+def rough(text: str) -> list[str]:
+    """The pieces of a text between ends of sentences and lines, with their marks, without blank ones."""
+    out, at = [], 0
+    for m in ROUGH.finditer(text):
+        s = m.start()
+        out.append(text[at:s if text[s] == "\n" else s + 1])
+        at = m.end()
+    out.append(text[at:])
+    return [p for p in out if p and not p.isspace()]
 
 
 def plain(text: str) -> str:
@@ -63,6 +75,8 @@ class Net:
         self.bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
         self.dense = rng.normal(0, 0.2, (len(WIDTHS) * FILTERS, len(names))).astype(np.float32)
         self.shift = np.zeros(len(names), np.float32)
+        self.tables: list[tuple[int, np.ndarray]] = []  # made of the filters when first used
+        self.known: dict[str, np.ndarray] = {}  # what it has said of short pieces, which often come again
 
     def pooled(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         out, where = [], []
@@ -75,24 +89,35 @@ class Net:
             out.append(np.maximum(np.take_along_axis(a, best[:, None, :], 1)[:, 0] + b, 0))
         return np.concatenate(out, axis=1), where
 
+    def pair_tables(self) -> list[tuple[int, np.ndarray]]:
+        """For the bytes at the offsets 0 and 1, 2 and 3, ... of a filter: where the filters that reach so far begin, and
+        what each pair of bytes adds to them."""
+        out = []
+        for k in range(0, max(WIDTHS), 2):
+            reach = [c for w, c in zip(WIDTHS, self.conv) if w > k]
+            both = [c[k][None] + (c[k + 1] if len(c) > k + 1 else np.zeros_like(c[k]))[:, None] for c in reach]
+            out.append(((len(WIDTHS) - len(reach)) * FILTERS, np.concatenate(both, axis=2).reshape(1 << 16, -1)))
+        return out
+
     def log_probabilities(self, x: np.ndarray) -> np.ndarray:
-        """One gather for each offset serves the filters of all widths that reach that far."""
-        reach = [sum(FILTERS for w in WIDTHS if w <= k) for k in range(max(WIDTHS))]
-        tables = [np.concatenate([c[k] for w, c in zip(WIDTHS, self.conv) if w > k], axis=1) for k in range(max(WIDTHS))]
+        """One gather for each two offsets serves the filters of all widths that reach that far."""
+        self.tables = self.tables or self.pair_tables()
         bias, out = np.concatenate(self.bias), np.zeros((len(x), len(self.names)), np.float32)
-        for s in range(0, len(x), 64):
-            flat = x[s:s + 64].ravel().astype(np.intp)
-            a = np.take(tables[0], flat, axis=0, mode="clip")
-            for k in range(1, max(WIDTHS)):
-                a[:-k, reach[k]:] += np.take(tables[k], flat[k:], axis=0, mode="clip")
+        for s in range(0, len(x), 32):
+            pair = x[s:s + 32].ravel().astype(np.intp)
+            pair[:-1] |= pair[1:] << 8
+            a = np.take(self.tables[0][1], pair, axis=0, mode="clip")
+            for k, (first, t) in enumerate(self.tables[1:], 1):
+                a[:-2 * k, first:] += np.take(t, pair[2 * k:], axis=0, mode="clip")
             best = a.reshape(-1, WINDOW, a.shape[1])[:, :PLACES].max(axis=1)
             z = np.maximum(best + bias, 0) @ self.dense + self.shift
             z -= z.max(axis=1, keepdims=True)
-            out[s:s + 64] = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+            out[s:s + 32] = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
         return out
 
     def train(self, x: np.ndarray, y: np.ndarray, steps: int, seed: int = 5) -> None:
         """Adam on cross-entropy; the gradient of a max-pooled filter reaches only the bytes at its best place."""
+        self.tables, self.known = [], {}
         rng = np.random.default_rng(seed)
         by = [np.flatnonzero(y == k) for k in range(len(self.names))]
         by = [b for b in by if len(b)]
@@ -130,7 +155,7 @@ def training_sample(documents: DataFrame) -> pd.DataFrame:
     doc_id.  A spelling of a label rarer than a tenth of ``LEAST_DOCUMENTS`` is passed over, so that at most some ten
     thousand spellings are looked at."""
     long_enough = documents.where(f"text IS NOT NULL AND lang IS NOT NULL AND length(text) BETWEEN 60 AND {LONGEST}")
-    counted = long_enough.groupBy("lang").count()
+    counted = durable(long_enough.groupBy("lang").count())
     total = counted.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     spellings = {r["lang"]: r["count"] for r in counted.where(F.col("count") >= LEAST_DOCUMENTS / 10 * total).collect()}
     sizes: dict[str, int] = {}
@@ -156,7 +181,7 @@ def train(sample: pd.DataFrame, steps: int = STEPS) -> Net | None:
     order = rng.permutation(len(sample))
     pieces, labels, document = [], [], []
     for d, (text, code) in enumerate(zip(sample["text"].to_numpy()[order], sample["code"].to_numpy()[order])):
-        for p in ROUGH.split(text):
+        for p in rough(text):
             p = plain(p)
             if _letters(p) >= 8:
                 if rng.random() < 0.06:
@@ -181,6 +206,7 @@ def train(sample: pd.DataFrame, steps: int = STEPS) -> Net | None:
 
 HEADING = re.compile(r"[^\n]{1,90}")
 SWITCH = 5.0  # what a change of language costs, in logarithms of probability
+KEPT, SHORT = 200_000, 300  # about how many judged pieces a task keeps, and the characters of the longest; no result depends on it
 CLEAR = 3.0  # how much likelier a piece must be in another language to call for a closer look
 
 
@@ -189,15 +215,42 @@ def _letters(p: str) -> int:
     return len(p) - sum(map(p.count, " 0123456789"))
 
 
-def score_pieces(net: Net, said: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """For each piece of plain text the mean log-probabilities of its windows, and a weight that grows with its length; pieces with
-    hardly any letters weigh nothing."""
-    count = np.array([_letters(p) for p in said])
-    x, owner = windows_of([p if n >= 4 else "" for p, n in zip(said, count)])
+def letters_of(said: list[str]) -> np.ndarray:
+    """``_letters`` of each piece."""
+    out = [np.zeros(0, np.int64)]
+    for part in cp.slices(said):
+        points, starts = cp.flatten(part)
+        out.append(np.diff(starts) - 1 - cp.sums((points == 32) | ((points >= 48) & (points < 58)), starts))
+    return np.concatenate(out)
+
+
+def mean_logs(net: Net, said: list[str]) -> np.ndarray:
+    """The mean log-probabilities of the windows of each piece; of an empty one zeros."""
+    x, owner = windows_of(said)
     out = np.zeros((len(said), len(net.names)), np.float32)
     np.add.at(out, owner, net.log_probabilities(x))
-    n = np.maximum(np.bincount(owner, minlength=len(said)), 1)[:, None]
-    return out / n, np.where(count >= 4, np.minimum(count / 20, 3.0), 0)
+    return out / np.maximum(np.bincount(owner, minlength=len(said)), 1)[:, None]
+
+
+def score_pieces(net: Net, said: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece of plain text the mean log-probabilities of its windows, and a weight that grows with its length; pieces with
+    hardly any letters weigh nothing.  Equal pieces are judged once."""
+    count = letters_of(said)
+    place = {p: k for k, p in enumerate(dict.fromkeys([p if n >= 4 else "" for p, n in zip(said, count.tolist())]))}
+    logs = np.zeros((len(place), len(net.names)))
+    new = []
+    for p, k in place.items():
+        if p in net.known:
+            logs[k] = net.known[p]
+        else:
+            new.append(p)
+    if new:
+        own = mean_logs(net, new)
+        logs[[place[p] for p in new]] = own
+        if len(net.known) > KEPT:
+            net.known.clear()
+        net.known.update((p, row) for p, row in zip(new, own) if len(p) <= SHORT)
+    return logs[[place[p if n >= 4 else ""] for p, n in zip(said, count.tolist())]] if said else logs, np.where(count >= 4, np.minimum(count / 20, 3.0), 0)
 
 
 def _table_line(line: str) -> bool:
@@ -258,7 +311,7 @@ def identify(texts: list[str], net: Net, judge: sentences.Judge) -> list[list[tu
         lines = t.split("\n", 2)
         if len(lines) > 2 and _table_line(lines[0]) and _table_line(lines[1]):
             t = t[len(lines[0]):]  # the names of the columns
-        own = [p for p in ROUGH.split(plain(t)) if p and not p.isspace()]
+        own = rough(plain(t))
         pieces += own
         owner += [k] * len(own)
     logs, weight = score_pieces(net, pieces)

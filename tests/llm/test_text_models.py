@@ -266,3 +266,26 @@ def test_runs_judged_together_are_judged_as_alone():
                 text = out
         assert got[1:] == want[1:] and abs(got[0] - want[0]) < 1e-6
     assert r.best_of(runs)[0][2] == "ü" and r.best_of(runs)[4][2] == "Ночь"
+
+
+def test_equal_pieces_are_judged_once_and_as_alone(monkeypatch):
+    net = langid.Net(["en", "es", "pt"])
+    said = ["the gate was sealed by ann", "12 3", "", "la grúa quedó", "the gate was sealed by ann", "鍵は霧谷倉庫へ" * 60, "la grúa quedó"]
+    windows = []
+    whole = langid.Net.log_probabilities
+    monkeypatch.setattr(langid.Net, "log_probabilities", lambda self, x: windows.append(len(x)) or whole(self, x))
+    logs, weight = langid.score_pieces(net, said)
+    assert sum(windows) == len(langid.windows_of(list({p for p in said if langid._letters(p) >= 4}))[0])
+    again, _ = langid.score_pieces(net, said[::-1])
+    for p, row, other, w in zip(said, logs, again[::-1], weight):
+        n = langid._letters(p)
+        x, _ = langid.windows_of([p if n >= 4 else ""])
+        assert np.allclose(row, whole(net, x).mean(0) if len(x) else 0, atol=1e-5) and np.allclose(row, other, atol=1e-6)
+        assert w == (min(n / 20, 3.0) if n >= 4 else 0)
+    assert langid.letters_of(said).tolist() == [langid._letters(p) for p in said]
+    assert langid.score_pieces(net, [])[0].shape == (0, 3)
+
+
+def test_rough_pieces_keep_their_marks():
+    assert langid.rough('One. Two!) Three?\n\nFour。」五！\n 3.5 "six." ') == ["One.", "Two!", "Three?", "Four。", "五！", " 3.5 \"six."]
+    assert langid.rough("\n\n \n") == [] and langid.rough("") == [] and langid.rough("plain") == ["plain"]
